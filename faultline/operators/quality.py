@@ -114,7 +114,7 @@ def raw_failures(raw: dict[str, DataFrame], source_system: str = vocab.SOURCE_SY
             F.array(
                 *[
                     F.when(
-                        has_object_payload() & truthy(f"p.{name}") & ~is_iso(f"p.{name}"),
+                        has_object_payload() & truthy(f"p_{name}") & ~is_iso(f"p_{name}"),
                         F.concat(record_key(), F.lit(f" field={name}")),
                     )
                     for name in feed.dates

@@ -263,12 +263,7 @@ def _constraint_table(triples: DataFrame, shapes: ShapeSet) -> DataFrame:
     return triples.sparkSession.createDataFrame(rows, schema)
 
 
-def validation_report(triples: DataFrame, shapes: ShapeSet, types: DataFrame | None = None) -> DataFrame:
-    """Violations (focus_node, result_path, component, value, message, severity); no row means it conforms.
-
-    Counting gives one row per focus and path, datatype and class one row per bad value, an unmet choice one row per
-    focus with a null path.
-    """
+def _violations(triples: DataFrame, shapes: ShapeSet, types: DataFrame | None) -> DataFrame:
     triples = triples.select("s", "p", "o", "o_kind", "o_datatype").distinct()
     types = entailed_types(triples, shapes) if types is None else types
     table = _constraint_table(triples, shapes)
@@ -277,7 +272,16 @@ def validation_report(triples: DataFrame, shapes: ShapeSet, types: DataFrame | N
     found = found.unionByName(_class_violations(triples, types, table))
     for target, options in shapes.alternatives.items():
         found = found.unionByName(_choice_violations(triples, types, shapes, target, options))
-    return found.select(
+    return found
+
+
+def validation_report(triples: DataFrame, shapes: ShapeSet, types: DataFrame | None = None) -> DataFrame:
+    """Violations (focus_node, result_path, component, value, message, severity); no row means it conforms.
+
+    Counting gives one row per focus and path, datatype and class one row per bad value, an unmet choice one row per
+    focus with a null path.
+    """
+    return _violations(triples, shapes, types).select(
         local_name("focus").alias("focus_node"),
         local_name("path").alias("result_path"),
         "component",
@@ -287,6 +291,11 @@ def validation_report(triples: DataFrame, shapes: ShapeSet, types: DataFrame | N
     )
 
 
+def violating_subjects(triples: DataFrame, shapes: ShapeSet, types: DataFrame | None = None) -> DataFrame:
+    """Full addresses of the nodes with any violation, as ``focus``."""
+    return _violations(triples, shapes, types).select("focus").distinct()
+
+
 def report_summary(report: DataFrame) -> DataFrame:
     return report.agg(F.count(F.lit(1)).alias("issue_count")).select(
         (F.col("issue_count") == 0).alias("conforms"), "issue_count"

@@ -36,10 +36,20 @@ class Analytics:
     ):
         self.core = core
         self.hot_rows = hot_rows
-        self.as_of: Column = workflow.as_of_column(core["events"], as_of)
-        self.leads = workflow.lead_times(core["events"], as_of, hot_rows) if leads is None else leads
+        self._as_of = as_of
+        self._leads = leads
         self._status: DataFrame | None = None
 
+    @property
+    def as_of(self) -> Column:
+        return workflow.as_of_column(self.core["events"], self._as_of)
+
+    @property
+    def leads(self) -> DataFrame:
+        if self._leads is None:
+            self._leads = workflow.lead_times(self.core["events"], self._as_of, self.hot_rows)
+        return self._leads
+
     def current_status(self) -> DataFrame:
         if self._status is None:
             self._status = workflow.current_status(
