@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Settings every job relies on: UTC wall-clock arithmetic and runtime re-planning with skew handling."""
+    """Settings every job relies on: UTC wall-clock arithmetic and runtime re-planning with skew handling.
+
+    Constraint propagation is off: with the many computed columns here it makes the optimizer spend minutes on a plan,
+    and all it would add are not-null filters on keys that are never null.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
