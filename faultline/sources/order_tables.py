@@ -250,7 +250,15 @@ def _select(df: DataFrame, table: str) -> DataFrame:
 
 def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     configure(spark)
-    return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in TABLES}
+    return {name: _spread(spark.read.parquet(f"{folder}/{name}.parquet")) for name in ["lineitem", "orders"]} | {
+        name: spark.read.parquet(f"{folder}/{name}.parquet") for name in TABLES if name not in ("lineitem", "orders")
+    }
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """A small file is one row group and would keep one core busy; files with enough splits are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def incident_tables(spark: SparkSession, folder: str, keep_row_number: bool = False) -> dict[str, DataFrame]:
