@@ -19,11 +19,12 @@ def start_raw_feed(spark: SparkSession, landing_dir: str, table_dir: str, state_
     """Load what is in ``landing_dir`` and stop. Each batch owns one folder, so a retried batch replaces itself."""
     target = f"{table_dir}/{feed.target_table}"
     rows = spark.readStream.schema(schemas.ENVELOPE).option("multiLine", True).json(landing_dir)
-    positioned = rows.withColumn(
-        "position", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
-    )
+    named = rows.withColumn("file", F.col("_metadata.file_path"))
 
     def load(batch: DataFrame, batch_id: int) -> None:
+        # A micro-batch is a plain table, where rows of a file keep their order.
+        position = F.struct("file", F.monotonically_increasing_id().alias("row"))
+        batch = batch.withColumn("position", position).drop("file")
         stored = None
         if batch_id > 0:
             every = spark.read.schema(f"{schemas.ENVELOPE}, batch_id BIGINT").parquet(target)
@@ -32,7 +33,7 @@ def start_raw_feed(spark: SparkSession, landing_dir: str, table_dir: str, state_
         loaded.drop("position").write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return (
-        positioned.writeStream.foreachBatch(load)
+        named.writeStream.foreachBatch(load)
         .option("checkpointLocation", f"{state_dir}/{feed.target_table}")
         .trigger(availableNow=True)
         .start()
