@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm.license_scan import op10_license_scan
+from faultline.llm.near_dup import op4_superminhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_superminhash": op4_superminhash,
     "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {}
