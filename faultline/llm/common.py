@@ -44,14 +44,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into slices of about `limit` bytes of a string or binary column, one row at least."""
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 20
+) -> Iterator[pa.RecordBatch]:
+    """Cut batches into slices of about `limit` bytes of a string or binary column and at most `rows` rows, one row at least."""
     for batch in batches:
         ends = np.cumsum(lengths(batch.column(column)))
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + limit, "right"))))
             yield batch.slice(start, stop - start)
             start = stop
 

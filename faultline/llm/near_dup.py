@@ -4,11 +4,11 @@
    random permutation per element, taken level by level and stopped as soon as no bin can still change.
 2. Documents with equal sets form a class. Only its smallest document goes on.
 3. Bands of the signature give buckets. In a bucket, members are first compared with one leader only, chosen anew in every
-   bucket. Signature bits rule out hopeless pairs before any set is moved; the rest are confirmed on full sets.
+   bucket. Small digests rule out pairs that can't be linked before any set is moved; the rest are confirmed on full sets.
 4. Confirmed links are grouped by union-find inside partitions and by smallest-label rounds with pointer jumping across them.
-5. Where a bucket still holds several groups, every member outside its largest group meets all members of other groups. So
-   each pair that shares a bucket is either in one group or has been compared, and a large group of copies costs stars
-   instead of all pairs.
+5. Where a bucket still holds several groups, every member outside its largest group meets the members of other groups,
+   inside a join on the bucket that passes only pairs whose digests allow a link. So each pair that shares a bucket is in one
+   group, or has been compared, or can't be linked, and a large group of copies costs stars instead of all pairs.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing. A document without
 id is linked with nothing and kept. Repeated rows share their id and give a row each. Empty tables give empty ones. Other
@@ -19,7 +19,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, sqrt
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -37,7 +39,11 @@ MISS = 1e-6
 #: Up to so many ids (8 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 SLICE = 1 << 20
+SLICE_ROWS = 2000
 PLANES = ["p0", "p1", "p2", "p3"]
+#: Bits of a parity sketch: bit h of a set's sketch is the parity of the number of its shingles that hash to h.
+PARITY_BITS = 1024
+PARITY = [f"o{i}" for i in range(PARITY_BITS // 64)]
 
 
 @dataclass(frozen=True)
@@ -110,10 +116,10 @@ def shingle_sets(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Of each document: size of its set, a 128-bit fingerprint of it, band keys, and two bits of each bin in four longs."""
+    """Of each document: size of its set, a 128-bit fingerprint of it, band keys, two bits of each bin, and a parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, limit=SLICE):
+        for part in common.slices(batches, limit=SLICE, rows=SLICE_ROWS):
             n = part.num_rows
             text, value = shingle_sets(common.raw_bytes(part.column("text")), rule.width)
             size = np.bincount(text, minlength=n)
@@ -136,15 +142,21 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
             for bit in (0, 1):
                 packed = np.packbits((digest >> np.uint64(bit) & np.uint64(1)).astype(np.uint8), axis=1)
                 planes += [np.ascontiguousarray(packed[:, :8]).view(np.int64)[:, 0], np.ascontiguousarray(packed[:, 8:]).view(np.int64)[:, 0]]
+            with np.errstate(over="ignore"):
+                bit = (mix(value ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(PARITY_BITS)).astype(np.int64)
+            odd = np.bincount(text * PARITY_BITS + bit, minlength=n * PARITY_BITS).reshape(n, PARITY_BITS) & 1
+            parity = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
             bands = pa.ListArray.from_arrays(
                 pa.array(np.arange(n + 1) * rule.bands, pa.int32()), pa.array(np.stack(keys, axis=1).reshape(-1))
             )
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(size.astype(np.int64)), *map(pa.array, prints), bands, *map(pa.array, planes)],
-                names=["doc_id", "n_shingles", "f0", "f1", "bands", *PLANES],
+                [part.column("doc_id"), pa.array(size.astype(np.int64)), *map(pa.array, prints), bands, *map(pa.array, planes)]
+                + [pa.array(np.ascontiguousarray(parity[:, i])) for i in range(len(PARITY))],
+                names=["doc_id", "n_shingles", "f0", "f1", "bands", *PLANES, *PARITY],
             )
 
-    schema = "doc_id long, n_shingles long, f0 long, f1 long, bands array<long>, p0 long, p1 long, p2 long, p3 long"
+    longs = ", ".join(f"{c} long" for c in [*PLANES, *PARITY])
+    schema = f"doc_id long, n_shingles long, f0 long, f1 long, bands array<long>, {longs}"
     return common.texts(docs).mapInArrow(run, schema)
 
 
@@ -227,11 +239,20 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def differing(left: str, right: str) -> Column:
-    """How many bins differ in their two bits, of two rows' planes."""
+def apart(left: str, right: str) -> Column:
+    """At least so many shingles are in one of two sets only: the differing bits of their parity sketches."""
+    return reduce(add, (F.bit_count(F.col(f"{left}.{c}").bitwiseXOR(F.col(f"{right}.{c}"))) for c in PARITY))
+
+
+def can_link(left: str, right: str, rule: Rule) -> Column:
+    """Whether two rows' digests allow a link. Parity sketches give a strict bound; where large sets fill them, two bits of
+    each bin of the signatures decide, 5.5 standard deviations beyond the threshold."""
     c = lambda side, i: F.col(f"{side}.p{i}")
-    parts = [F.bit_count(c(left, i).bitwiseXOR(c(right, i)).bitwiseOR(c(left, i + 2).bitwiseXOR(c(right, i + 2)))) for i in (0, 1)]
-    return parts[0] + parts[1]
+    unlike = [F.bit_count(c(left, i).bitwiseXOR(c(right, i)).bitwiseOR(c(left, i + 2).bitwiseXOR(c(right, i + 2)))) for i in (0, 1)]
+    both = F.col(f"{left}.n_shingles") + F.col(f"{right}.n_shingles")
+    # intersection >= percent / (100 + percent) of both sizes, so at most the rest is in one set only
+    strict = (100 + rule.percent) * apart(left, right) <= (100 - rule.percent) * both
+    return (unlike[0] + unlike[1] <= rule.differing) & strict
 
 
 def components(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -240,7 +261,7 @@ def components(docs: DataFrame, rule: Rule) -> DataFrame:
     with_words = sketch.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = common.store(
         with_words.groupBy("f0", "f1", "n_shingles")
-        .agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bands", *PLANES), "doc_id").alias("s"))
+        .agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bands", *PLANES, *PARITY), "doc_id").alias("s"))
         .select("f0", "f1", "n_shingles", "id", "s.*"),
         "classes",
     )
@@ -252,15 +273,15 @@ def components(docs: DataFrame, rule: Rule) -> DataFrame:
         .select("key", F.col("least").bitwiseXOR(F.col("key")).alias("leader"))
     )
     shared = common.store(members.join(leaders, "key"), "shared")  # only buckets with several classes
-    planes = classes.select("id", *PLANES)
+    digests = classes.select("id", "n_shingles", *PLANES, *PARITY)
 
     def possible(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose signature bits allow a link."""
+        """Distinct pairs whose digests allow a link, with the least distance of their sets."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        x, y = planes.alias("x"), planes.alias("y")
-        out = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
-        out = out.select("a", "b", differing("x", "y").alias("d"))
-        return common.store(out.filter(F.col("d") <= rule.differing), "pairs")
+        x, y = digests.alias("x"), digests.alias("y")
+        out = pairs.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & can_link("x", "y", rule))
+        size = F.col("x.n_shingles") + F.col("y.n_shingles")
+        return common.store(out.select("a", "b", (apart("x", "y") / size).alias("d")), "pairs")
 
     stars = possible(shared.filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")))
     # each class with its most alike leader first: as a rule that links all there is to link
@@ -284,15 +305,13 @@ def components(docs: DataFrame, rule: Rule) -> DataFrame:
     held = common.store(label_of(shared.select("key", "id"), "id", "label"), "held")
     sizes = held.groupBy("key", "label").agg(F.count("*").alias("n"))
     top = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("label", F.struct("n", "label")).alias("top"))
-    mixed = held.join(top.filter("groups > 1"), "key").join(planes, "id")
-    mixed = common.store(mixed.select("key", "id", "label", "top", *PLANES), "mixed")
+    mixed = common.store(held.join(top.filter("groups > 1"), "key").join(digests, "id").drop("groups"), "mixed")
     x, y = mixed.filter("label <> top").alias("x"), mixed.alias("y")
-    open_pairs = x.join(
-        y,
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (differing("x", "y") <= rule.differing),
-    ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    open_pairs = open_pairs.distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    open_pairs = common.store(open_pairs, "open")
+    others = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
+    open_pairs = x.join(y, others & can_link("x", "y", rule)).select(
+        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
+    )
+    open_pairs = common.store(open_pairs.distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "open")
     edges = common.store(edges.union(confirm(docs, open_pairs, rule)), "links")
     labels = connected(edges)
 
