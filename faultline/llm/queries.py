@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm import quality_rules
+from faultline.llm.decontaminate import op9_benchmark_leaks
 from faultline.llm.license_scan import op10_license_scan
 from faultline.llm.near_dup import op4_superminhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_ratio": quality_rules.op2_quality_ratio,
     "op4_superminhash": op4_superminhash,
+    "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {"op2_quality_ratio": quality_rules.ORACLE}
