@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from faultline.llm import quality_rules
 from faultline.llm.decontaminate import op9_benchmark_leaks
 from faultline.llm.license_scan import op10_license_scan
 from faultline.llm.near_dup import op4_superminhash
+from faultline.llm.pieces import op5_unigram_pieces
 from faultline.llm.secrets import op8_secret_field
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_ratio": quality_rules.op2_quality_ratio,
     "op4_superminhash": op4_superminhash,
+    "op5_unigram_pieces": op5_unigram_pieces,
     "op8_secret_field": op8_secret_field,
     "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_license_scan": op10_license_scan,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op2_quality_ratio": quality_rules.ORACLE}
