@@ -37,9 +37,9 @@ WORDS = [b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"]
 #: Kind of the spans that the field adds, and their least length.
 ADDED, LEAST_ADDED = "field", 8
 #: Documents that the field is fitted to: those with the smallest hashes of id and text.
-SAMPLE = 6000
+SAMPLE = 4000
 #: Tokens of a training window, negative windows of a document, rounds, step and decay of the fit.
-WINDOW, OTHERS, ROUNDS, STEP, DECAY = 24, 2, 80, 0.5, 1e-4
+WINDOW, OTHERS, ROUNDS, STEP, DECAY = 24, 2, 50, 0.5, 1e-4
 HASHES = 1 << 12
 NEIGHBOURS = (-2, -1, 1)
 FILES = 16
