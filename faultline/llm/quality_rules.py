@@ -74,21 +74,27 @@ def base_counts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", failed).drop("_w", "_l", "_g", "_s", "_r")
 
 
-def buckets(rows: DataFrame) -> DataFrame:
-    """Replaces the text of rows by one row per hashed n-gram: the other columns and bucket."""
-    keep = [c for c in rows.columns if c != "text"]
-    rows = rows.select(*keep, F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("_t"))
+def hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, buckets): the hashed n-grams of each text, computed once and read twice."""
+    rows = common.texts(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    rows = rows.select("doc_id", "text_key", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("_t"))
     pairs = F.zip_with("_t", F.slice("_t", F.lit(2), F.size("_t")), lambda a, b: F.concat(a, F.lit(" "), b))
-    grams = rows.select(*keep, F.explode(F.concat("_t", pairs)).alias("_g")).filter("_g is not null")
-    return grams.select(*keep, F.substring(F.md5(F.col("_g").cast("binary")), 1, DIGITS).alias("bucket"))
+    # the last token has no pair
+    rows = rows.select("doc_id", "text_key", "_t", F.slice(pairs, F.lit(1), F.greatest(F.size("_t") - 1, F.lit(0))).alias("_p"))
+
+    def bucket(gram: Column) -> Column:
+        return F.conv(F.substring(F.md5(gram.cast("binary")), 1, DIGITS), 16, 10).cast("smallint")
 
+    return common.store(rows.select("doc_id", "text_key", F.transform(F.concat("_t", "_p"), bucket).alias("buckets")), "grams")
 
-def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+
+def weights(grams: DataFrame, trusted: DataFrame) -> DataFrame:
     """(bucket, weight) from all documents and those whose doc_id is in `trusted`: BUCKETS rows at most."""
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = common.texts(docs).join(ids.withColumn("good", F.lit(1)), "doc_id", "left")
-    counts = buckets(rows.select("text", F.coalesce("good", F.lit(0)).alias("good"))).groupBy("bucket", "good").agg(F.count("*").alias("n"))
+    rows = grams.join(ids.withColumn("good", F.lit(1)), "doc_id", "left")
+    rows = rows.select(F.coalesce("good", F.lit(0)).alias("good"), F.explode("buckets").alias("bucket"))
+    counts = rows.groupBy("bucket", "good").agg(F.count("*").alias("n"))
     counts = counts.groupBy("bucket").agg(F.sum("n").alias("raw"), F.sum(F.col("n") * F.col("good")).alias("target"))
     totals = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
 
@@ -102,10 +108,10 @@ def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     )
 
 
-def scored(docs: DataFrame, table: DataFrame) -> DataFrame:
+def scored(grams: DataFrame, table: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_grams, ratio): rows with the same id and text are scored together, which leaves their mean as it is."""
-    rows = common.texts(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    found = buckets(rows).join(F.broadcast(table), "bucket")
+    rows = grams.select("doc_id", "text_key", F.explode("buckets").alias("bucket"))
+    found = rows.join(F.broadcast(table), "bucket")
     return found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n_grams"), F.sum("weight").alias("ratio"))
 
 
@@ -117,8 +123,9 @@ def verdicts(docs: DataFrame, trusted: DataFrame, *carry: str) -> DataFrame:
         F.struct(*[F.col(c) for c in carry]).alias("_row") if carry else F.lit(None).alias("_row"),
     )
     base = base_counts(rows).withColumn("text_key", F.xxhash64("text")).drop("text")
-    table = common.store(weights(docs, trusted), "weights")
-    score = scored(docs, table).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    grams = hashed(docs)
+    table = common.store(weights(grams, trusted), "weights")
+    score = scored(grams, table).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
     joined = base.join(score, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     good = F.coalesce(F.col("ratio") >= THRESHOLD * F.col("n_grams"), F.lit(False))
     # one condition on both sides of the join: a filter on it stays above the join, so the array work below isn't done twice
