@@ -375,7 +375,7 @@ def of_kind(kind: str) -> Column:
 
 
 def digest(found: DataFrame, kinds: list[str]) -> DataFrame:
-    """The columns that both span scans return."""
+    """The columns that both span scans return; kinds: those of the patterns."""
     return found.select(
         "doc_id",
         *[of_kind(k).alias(f"n_{k}") for k in kinds],
