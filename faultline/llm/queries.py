@@ -13,12 +13,14 @@ from faultline.llm.license_scan import op10_license_scan
 from faultline.llm.near_dup import op4_superminhash
 from faultline.llm.personal_data import op7_revealing_terms
 from faultline.llm.pieces import op5_unigram_pieces
+from faultline.llm.quality_model import op6_ftrl_quality
 from faultline.llm.secrets import op8_secret_field
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_ratio": quality_rules.op2_quality_ratio,
     "op4_superminhash": op4_superminhash,
     "op5_unigram_pieces": op5_unigram_pieces,
+    "op6_ftrl_quality": op6_ftrl_quality,
     "op7_revealing_terms": op7_revealing_terms,
     "op8_secret_field": op8_secret_field,
     "op9_benchmark_leaks": op9_benchmark_leaks,
