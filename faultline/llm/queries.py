@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from faultline.llm import quality_rules
 from faultline.llm.bit_planes import op1_bit_planes
+from faultline.llm.chat_format import op3_typed_parts
 from faultline.llm.decontaminate import op9_benchmark_leaks
 from faultline.llm.license_scan import op10_license_scan
 from faultline.llm.near_dup import op4_superminhash
@@ -20,6 +21,7 @@ from faultline.llm.secrets import op8_secret_field
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bit_planes": op1_bit_planes,
     "op2_quality_ratio": quality_rules.op2_quality_ratio,
+    "op3_typed_parts": op3_typed_parts,
     "op4_superminhash": op4_superminhash,
     "op5_unigram_pieces": op5_unigram_pieces,
     "op6_ftrl_quality": op6_ftrl_quality,
