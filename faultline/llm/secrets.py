@@ -258,9 +258,14 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
         for name, value in fit(rows).items():
             yield pa.RecordBatch.from_pydict({"name": [name], "rows": [value.shape[0]], "value": [value.astype(np.float64).tobytes()]})
 
-    rows = common.texts(docs).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE).select("text")
-    found = rows.coalesce(1).mapInArrow(run, "name string, rows long, value binary").collect()
-    return {r["name"]: np.frombuffer(r["value"], np.float64).reshape(r["rows"], 3) for r in found}
+    rows = common.texts(docs).withColumn("h", F.xxhash64("doc_id", "text"))
+    # only hashes are sorted; the texts of the chosen ones are moved
+    last = rows.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    chosen = rows.filter(F.col("h") <= F.lit(last)) if last is not None else rows.limit(0)
+    chosen = chosen.dropDuplicates(["h"]).select("h", "text").repartition(1).sortWithinPartitions("h").select("text")
+    found = chosen.mapInArrow(run, "name string, rows long, value binary").collect()
+    model = {r["name"]: np.frombuffer(r["value"], np.float64).reshape(r["rows"], 3) for r in found}
+    return model or fit([])
 
 
 def field_spans(tokens: Tokens, model: dict[str, np.ndarray]) -> dict[int, list[tuple[int, int]]]:
