@@ -33,8 +33,8 @@ THRESHOLD = 0.5
 #: Least share of the word triples of question and of answer.
 OVERLAP = 0.5
 GRAM = 3
-#: Items of a block.
-BLOCK = 16
+#: Items of a block: fewer make tighter bounds, more make fewer of them.
+BLOCK = 4
 #: Items and text bytes of a shard, which bound what is broadcast.
 SHARD_ITEMS = 2000
 SHARD_BYTES = 4 << 20
