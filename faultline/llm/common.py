@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at a time; a longer single text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: ASCII white space: the gaps between words of `[^\x20\x09-\x0D]+`, which is also what bytes.split() cuts at.
 GAPS = " \t\n\x0b\x0c\r"
 
