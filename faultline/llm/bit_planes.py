@@ -3,7 +3,7 @@
 Texts are encoded in ascending doc_id order, an end id after each, and dealt into shards by ranges of doc_id. A shard's ids are
 cut into blocks of fixed size. A block is transposed: plane b holds bit (or byte) b of all its ids, and each plane is compressed
 by itself with zstandard. The table has a row per block; its chunk index says which ids the block holds, how long each plane is,
-and which documents begin there. It is a Parquet table, so that any shared store takes it and lost tasks are written anew.
+and which documents lie in it, wholly or in part. It is a Parquet table, so that any shared store takes it and lost tasks are written anew.
 
 Defined results: a null or empty text is the end id alone. Repeated rows are written repeatedly, ties ordered by text hash; rows
 without id come first. An empty table gives an empty one. Other columns are not read.
@@ -27,8 +27,8 @@ from faultline.llm.pieces import ragged
 BLOCK_IDS = 1 << 16
 END_ID = 1
 LEVEL = 3
-#: Words that a task remembers with their ids before it starts anew.
-REMEMBERED = 400_000
+#: Words that a worker process remembers with their ids, from task to task, before it starts anew.
+REMEMBERED = 600_000
 BLOCKS = (
     "shard int, block long, first long, n_ids long, bits int, planes array<int>, payload binary, "
     "docs array<struct<doc_id: long, start: long, n_tokens: long>>"
@@ -111,6 +111,16 @@ class WordIds:
         return self.ids[ragged(begin, size)], np.diff(sums[np.cumsum([0, *counts])])
 
 
+_encoders: dict[str, WordIds] = {}
+
+
+def encoder_of(path: str) -> WordIds:
+    """The worker process's encoder."""
+    if path not in _encoders:
+        _encoders[path] = WordIds(path)
+    return _encoders[path]
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -130,7 +140,7 @@ def write_blocks(docs: DataFrame, path: str | None = None, step: int = 1, block_
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, encoder = TaskContext.get().partitionId(), WordIds(path)
+        shard, encoder = TaskContext.get().partitionId(), encoder_of(path)
         held, block, first, starting, total = np.zeros(0, np.uint32), 0, 0, [], 0
         for part in common.slices(batches):
             ids, sizes = encoder.encode(common.raw_bytes(part.column("text")))
@@ -140,7 +150,7 @@ def write_blocks(docs: DataFrame, path: str | None = None, step: int = 1, block_
             held = np.concatenate([held, ids])
             while len(held) >= block_ids:
                 own = [d for d in starting if d[1] < first + block_ids]
-                starting = starting[len(own) :]
+                starting = [d for d in starting[len(own) - 1 :] if d[1] + d[2] > first + block_ids]  # the last may go on
                 yield block_row(shard, block, first, held[:block_ids], encoder.bits, step, own)
                 held, block, first = held[block_ids:], block + 1, first + block_ids
         if len(held):
@@ -152,40 +162,55 @@ def write_blocks(docs: DataFrame, path: str | None = None, step: int = 1, block_
     return common.store(rows.mapInArrow(run, BLOCKS), "blocks")
 
 
+PIECES = "shard int, start long, doc_id long, n_tokens long, at long, ids_crc32 long, ids binary"
+_PIECES = pa.schema(
+    [
+        ("shard", pa.int32()), ("start", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("at", pa.int64()),
+        ("ids_crc32", pa.int64()), ("ids", pa.binary()),
+    ]
+)
+
+
 def read_documents(blocks: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the blocks alone; start counts from the begin of all ids."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the blocks alone; start counts from the begin of all ids.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, open_doc = None, None  # shard; document that goes on: id, start, tokens, tokens to come, crc
+    Blocks are read in any order. A document that lies in one block is done there; of the others, which meet at block borders,
+    the pieces are brought together and summed in order.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = []
-            for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                if row["shard"] != now:
-                    now, open_doc = row["shard"], None
+            for row in batch.to_pylist():
                 ids, _ = unpack(row["planes"], row["payload"], row["n_ids"], row["bits"])
-                flat = ids.astype("<u4").tobytes()
-                at = 0
-                waiting = list(reversed(row["docs"]))
-                while at < len(ids):
-                    if open_doc is None:
-                        d = waiting.pop()
-                        open_doc = [d["doc_id"], d["start"], d["n_tokens"], d["n_tokens"], 0]
-                    take = min(open_doc[3], len(ids) - at)
-                    open_doc[4] = zlib.crc32(flat[4 * at : 4 * (at + take)], open_doc[4])
-                    open_doc[3] -= take
-                    at += take
-                    if not open_doc[3]:
-                        done.append((open_doc[0], now, open_doc[1], open_doc[2], open_doc[4]))
-                        open_doc = None
-            columns = list(zip(*done, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            names = ["doc_id", "shard", "start", "n_tokens", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
+                flat, first = ids.astype("<u4").tobytes(), row["first"]
+                out = []
+                for d in row["docs"]:
+                    a, b = max(d["start"] - first, 0), min(d["start"] + d["n_tokens"] - first, row["n_ids"])
+                    piece = flat[4 * a : 4 * b]
+                    whole = b - a == d["n_tokens"]
+                    out.append(
+                        {"shard": row["shard"], **d, "at": a + first, "ids_crc32": zlib.crc32(piece) if whole else None}
+                        | {"ids": None if whole else piece}
+                    )
+                yield pa.RecordBatch.from_pylist(out, schema=_PIECES)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None  # shard, start, id, tokens, tokens to come, crc
+        for batch in batches:
+            done = []
+            for r in batch.to_pylist():
+                if now is None or now[:2] != [r["shard"], r["start"]]:
+                    now = [r["shard"], r["start"], r["doc_id"], r["n_tokens"], r["n_tokens"], 0]
+                now[4] -= len(r["ids"]) // 4
+                now[5] = zlib.crc32(r["ids"], now[5])
+                if not now[4]:
+                    done.append({"shard": now[0], "start": now[1], "doc_id": now[2], "n_tokens": now[3], "at": now[1], "ids_crc32": now[5], "ids": None})
+            yield pa.RecordBatch.from_pylist(done, schema=_PIECES)
+
+    pieces = common.store(blocks.mapInArrow(read, PIECES), "pieces")
     n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = blocks.repartition(n, "shard").sortWithinPartitions("shard", "block")
-    found = rows.mapInArrow(run, "doc_id long, shard int, start long, n_tokens long, ids_crc32 long")
+    parts = pieces.filter("ids is not null").repartition(n, "shard", "start").sortWithinPartitions("shard", "start", "at")
+    found = pieces.filter("ids is null").unionByName(parts.mapInArrow(join, PIECES))
     # a row for each shard, of which there are as many as shuffle partitions
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
