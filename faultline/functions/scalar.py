@@ -18,6 +18,12 @@ def micros_between(start: str | Column, end: str | Column) -> Column:
     return F.timestamp_diff("MICROSECOND", col(start), col(end))
 
 
+def round_even(value: str | Column, places: int = 0) -> Column:
+    """Rounded for output; ties go to the even neighbour."""
+    scale = float(10**places)
+    return F.rint(col(value) * F.lit(scale)) / F.lit(scale)
+
+
 def hours_between(start: str | Column, end: str | Column) -> Column:
     return micros_between(start, end) / F.lit(float(MICROS_PER_HOUR))
 
@@ -36,8 +42,10 @@ def iso_text(ts: str | Column) -> Column:
 
 
 def parse_iso(text: str | Column) -> Column:
-    """ISO text to UTC wall clock; raises on bad text because a bad core value must fail the run."""
-    return col(text).cast("timestamp").cast("timestamp_ntz")
+    """ISO text to UTC wall clock; any other text, also looser forms that a cast takes, must fail the run."""
+    value = col(text)
+    bad = F.raise_error(F.concat(F.lit("not an ISO date or time: "), value)).cast("timestamp_ntz")
+    return F.when(value.isNull() | is_iso(value), _standard(value).try_cast("timestamp").cast("timestamp_ntz")).otherwise(bad)
 
 
 ISO_PATTERN = (
@@ -49,12 +57,14 @@ ISO_PATTERN = (
 def is_iso(text: str | Column) -> Column:
     """True where the text is an ISO date or timestamp. The shape test keeps out the looser forms Spark casts."""
     value = col(text)
+    return F.coalesce(value.rlike(ISO_PATTERN) & _standard(value).try_cast("timestamp").isNotNull(), F.lit(False))
+
+
+def _standard(value: Column) -> Column:
+    """The text in the form Spark casts: a T between date and time, and ":00" added to a bare hour."""
     standard = F.concat(F.substring(value, 1, 10), F.lit("T"), F.substring(value, 12, 64))
-    # Spark needs minutes in a time, so a bare hour is checked with ":00" added.
     padded = F.regexp_replace(standard, r"T(\d{2})(Z|[+-].*)?$", "T$1:00$2")
-    date_only = F.length(value) == 10
-    parsed = F.when(date_only, value.try_cast("timestamp")).otherwise(padded.try_cast("timestamp"))
-    return F.coalesce(value.rlike(ISO_PATTERN) & parsed.isNotNull(), F.lit(False))
+    return F.when(F.length(value) == 10, value).otherwise(padded)
 
 
 def one_of(value: str | Column, allowed: Iterable[str]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from faultline import vocab
-from faultline.functions.scalar import hours_between, iso_text, lookup
+from faultline.functions.scalar import hours_between, iso_text, lookup, round_even
 
 COMPONENTS = [
     "asset_criticality_score",
@@ -112,7 +112,7 @@ def impact_rationale() -> Column:
     minutes = F.col("thermal_breach_minutes")
     details = F.concat_ws(
         "; ",
-        F.when((gpu != 0) | (kw != 0), F.format_string("%d affected GPUs and %.0f kW at risk", gpu, kw)),
+        F.when((gpu != 0) | (kw != 0), F.format_string("%d affected GPUs and %.0f kW at risk", gpu, round_even(kw))),
         F.when(
             (F.col("redundancy_state") == "N-1") | lost_redundancy(),
             F.concat("redundancy_state", F.lit(" redundancy exposure")),
@@ -132,7 +132,7 @@ def reason_summary() -> Column:
         F.lit(" is delayed in "),
         F.col("current_stage"),
         F.lit(" for "),
-        F.format_string("%.1f", F.col("hours_in_current_stage")),
+        F.format_string("%.1f", round_even("hours_in_current_stage", 1)),
         F.lit(" hours."),
     )
     waiting = F.concat(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import scoring
-from faultline.functions.scalar import is_active
+from faultline.functions.scalar import is_active, round_even
 from faultline.operators.skew import global_rank
 from faultline.operators.workflow import latest_snapshots, lead_profile
 
@@ -95,27 +95,31 @@ def scored_incidents(
     )
 
 
-def follow_up_queue(scored: DataFrame) -> DataFrame:
-    """Rank by unrounded total, then incident id; round only what is shown."""
-    slim = scored.select(
+def shown(scored: DataFrame, *more: str) -> DataFrame:
+    """The columns of the queue, rounded; without a rank unless it is among `more`."""
+    return scored.select(
         "incident_id",
+        *more,
         "asset_id",
         "zone_id",
         "current_stage",
-        *scoring.COMPONENTS,
-        "total",
+        *[round_even(name, 2).alias(name) for name in scoring.COMPONENTS],
+        round_even("total", 2).alias("total_priority_score"),
         "recommended_action",
         "reason_summary",
     )
-    ranked = global_rank(slim, [F.desc("total"), F.asc("incident_id")], "priority_rank")
-    return ranked.select(
+
+
+def follow_up_queue(scored: DataFrame) -> DataFrame:
+    """Rank by unrounded total, then incident id; round only what is shown."""
+    slim = scored.select(
         "incident_id",
-        "priority_rank",
         "asset_id",
         "zone_id",
         "current_stage",
-        *[F.round(name, 2).alias(name) for name in scoring.COMPONENTS],
-        F.round("total", 2).alias("total_priority_score"),
+        *scoring.COMPONENTS,
+        "total",
         "recommended_action",
         "reason_summary",
     )
+    return shown(global_rank(slim, [F.desc("total"), F.asc("incident_id")], "priority_rank"), "priority_rank")

@@ -11,12 +11,13 @@ from faultline import vocab
 from faultline.functions.scalar import is_active, iso_text, json_object, lookup, truthy
 from faultline.functions.scoring import high_impact
 from faultline.operators import validators
-from faultline.operators.skew import HOT_ROWS, global_rank, hot_keys, listed
+from faultline.operators.skew import HOT_ROWS, ends, global_rank
 from faultline.operators.validators import emit, issue
+from faultline.session import checkpoint
 from faultline.operators.workflow import default_as_of, event_profile, latest_snapshots
 
 
-def state_issues(incidents: DataFrame, events: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def state_issues(incidents: DataFrame, events: DataFrame) -> DataFrame:
     """Core stage and status against the latest entered stage and the restore events."""
     profile = event_profile(events).select("incident_id", "latest_entered", "restore_count")
     seen = incidents.select("incident_id", "asset_id", "current_stage", "current_status").join(
@@ -61,15 +62,12 @@ def state_issues(incidents: DataFrame, events: DataFrame, hot_rows: int | None =
         ),
     )
     contradicted = seen.where(has_entry & is_active() & (restores > 0)).drop("latest_entered", "restore_count")
-    completions = events.where(F.col("event_type") == vocab.INCIDENT_RESTORED).select(
-        "incident_id", "occurred_at", "event_id"
-    )
-    lists = listed(
+    completions = events.where(F.col("event_type") == vocab.INCIDENT_RESTORED)
+    lists = ends(
         completions.join(contradicted.select("incident_id"), "incident_id", "left_semi"),
         ["incident_id"],
         ["occurred_at", "event_id"],
         "event_id",
-        hot_rows,
     )
     with_lists = emit(
         lists.join(contradicted, "incident_id"),
@@ -78,7 +76,9 @@ def state_issues(incidents: DataFrame, events: DataFrame, hot_rows: int | None =
             issue(
                 prefix + "active_with_completion_event",
                 "The incident is still active, but event history contains a restore event.",
-                json_object(current_status="current_status", completion_event_ids="items"),
+                json_object(
+                    current_status="current_status", event_count="n", first_event_id="first", last_event_id="last"
+                ),
                 asset="asset_id",
             ),
         ),
@@ -86,14 +86,14 @@ def state_issues(incidents: DataFrame, events: DataFrame, hot_rows: int | None =
     return single.unionByName(with_lists)
 
 
-def event_sequence_issues(incidents: DataFrame, events: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def events_before_report(incidents: DataFrame, events: DataFrame) -> DataFrame:
+    reported = incidents.select("incident_id", "reported_at")
+    return events.join(reported, "incident_id").where(F.col("occurred_at") < F.col("reported_at")).drop("reported_at")
+
+
+def event_sequence_issues(incidents: DataFrame, events: DataFrame) -> DataFrame:
     reported = incidents.select("incident_id", "asset_id", "reported_at")
-    early = (
-        events.select("incident_id", "event_id", "occurred_at")
-        .join(reported, "incident_id")
-        .where(F.col("occurred_at") < F.col("reported_at"))
-    )
-    lists = listed(early, ["incident_id"], ["occurred_at", "event_id"], "event_id", hot_rows)
+    lists = ends(events_before_report(incidents, events), ["incident_id"], ["occurred_at", "event_id"], "event_id")
     return emit(
         lists.join(reported, "incident_id"),
         (
@@ -101,18 +101,21 @@ def event_sequence_issues(incidents: DataFrame, events: DataFrame, hot_rows: int
             issue(
                 "event_sequence_before_request",
                 "A stage event occurred before the infrastructure request was reported.",
-                json_object(reported_at=iso_text("reported_at"), event_ids="items"),
+                json_object(
+                    reported_at=iso_text("reported_at"), event_count="n", first_event_id="first", last_event_id="last"
+                ),
                 asset="asset_id",
             ),
         ),
     )
 
 
-def spare_waiting_issues(incidents: DataFrame, work_orders: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    missing = work_orders.where(
-        (F.col("work_order_status") == "WAITING_SPARE_VENDOR") & ~truthy("required_spare_id")
-    ).select("incident_id", "work_order_id")
-    lists = listed(missing, ["incident_id"], ["work_order_id"], "work_order_id", hot_rows)
+def orders_without_spare(work_orders: DataFrame) -> DataFrame:
+    return work_orders.where((F.col("work_order_status") == "WAITING_SPARE_VENDOR") & ~truthy("required_spare_id"))
+
+
+def spare_waiting_issues(incidents: DataFrame, work_orders: DataFrame) -> DataFrame:
+    lists = ends(orders_without_spare(work_orders), ["incident_id"], ["work_order_id"], "work_order_id")
     return emit(
         lists.join(incidents.select("incident_id", "asset_id"), "incident_id", "left"),
         (
@@ -120,7 +123,12 @@ def spare_waiting_issues(incidents: DataFrame, work_orders: DataFrame, hot_rows:
             issue(
                 "spare_waiting_missing_required_spare",
                 "A work order is waiting on a spare or vendor, but no required spare is linked.",
-                json_object(work_order_ids="items", work_order_status=F.lit("WAITING_SPARE_VENDOR")),
+                json_object(
+                    work_order_count="n",
+                    first_work_order_id="first",
+                    last_work_order_id="last",
+                    work_order_status=F.lit("WAITING_SPARE_VENDOR"),
+                ),
                 asset="asset_id",
             ),
         ),
@@ -345,19 +353,14 @@ def all_issues(
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Every reconciliation issue of a run, in the common issue schema."""
-    limit = hot_rows
-    if limit is not None and not any(
-        hot_keys(table, ["incident_id"], limit).head(1) for table in (events, work_orders)
-    ):
-        limit = None  # no incident is hot, so no list or window below can be
     parts = [
         validators.incident_vocabulary(incidents),
         validators.event_vocabulary(events),
         validators.impact_vocabulary(snapshots, incidents),
-        validators.transition_rules(events, incidents, limit),
-        state_issues(incidents, events, limit),
-        event_sequence_issues(incidents, events, limit),
-        spare_waiting_issues(incidents, work_orders, limit),
+        validators.transition_rules(events, incidents, hot_rows),
+        state_issues(incidents, events),
+        event_sequence_issues(incidents, events),
+        spare_waiting_issues(incidents, work_orders),
         validation_issues(incidents, work_orders, validations),
         output_issues(incidents, status),
         impact_issues(incidents, events, snapshots, as_of),
@@ -365,6 +368,42 @@ def all_issues(
     return reduce(DataFrame.unionByName, parts)
 
 
+def issue_evidence(incidents: DataFrame, events: DataFrame, work_orders: DataFrame) -> DataFrame:
+    """All records behind the issues that name a count: one row per issue and record, however many there are."""
+    # written once, as five rules read them
+    events = checkpoint(events.select("incident_id", "event_id", "stage", "event_type", "occurred_at"))
+    incidents = checkpoint(incidents.select("incident_id", "current_status", "reported_at"))
+    entries = validators.entered_events(events)
+    repeated = entries.groupBy("incident_id", "stage").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    completions = events.where(F.col("event_type") == vocab.INCIDENT_RESTORED)
+    entered = entries.select("incident_id").distinct()
+    active = incidents.where(is_active()).select("incident_id")
+    contradicted = completions.join(active, "incident_id", "left_semi").join(entered, "incident_id", "left_semi")
+
+    def rows(df: DataFrame, kind: str, record: str, stage: str | None = None) -> DataFrame:
+        return df.select(
+            "incident_id",
+            F.lit(kind).alias("issue_type"),
+            (F.col(stage) if stage else F.lit(None).cast("string")).alias("stage"),
+            F.col(record).alias("record_id"),
+        )
+
+    ontology = "workflow_ontology_"
+    parts = [
+        rows(
+            entries.join(repeated.select("incident_id", "stage"), ["incident_id", "stage"], "left_semi"),
+            ontology + "duplicate_stage_entry",
+            "event_id",
+            "stage",
+        ),
+        rows(validators.early_terminal_events(events, incidents), ontology + "invalid_restored_state", "event_id"),
+        rows(contradicted, "state_reconstruction_active_with_completion_event", "event_id"),
+        rows(events_before_report(incidents, events), "event_sequence_before_request", "event_id"),
+        rows(orders_without_spare(work_orders), "spare_waiting_missing_required_spare", "work_order_id"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def numbered_issues(issues: DataFrame, run_id: str) -> DataFrame:
     """Issue ids REC-run-nnn in (incident, type, severity) order; the evidence text breaks ties."""
     ordered = global_rank(

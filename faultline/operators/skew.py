@@ -57,17 +57,12 @@ def chunk_hot_keys(df: DataFrame, keys: list[str], order: list[str], limit: int
     return Chunked(ordinary.unionByName(large), keys, True)
 
 
-def listed(df: DataFrame, keys: list[str], order: list[str], item: str, limit: int | None = HOT_ROWS) -> DataFrame:
-    """Items of each key in order as an array ``items``.
-
-    A key with more than ``limit`` items gives several rows, each with its share of the list, so no row and no task
-    holds an unbounded list and nothing is left out. ``part`` is -1 for a list that is whole.
-    """
-    chunked = chunk_hot_keys(df, keys, order, limit)
-    rows = F.sort_array(F.collect_list(F.struct(*order, F.col(item).alias("_item"))))
-    grouped = chunked.df.groupBy(*chunked.partition_keys).agg(rows.alias("_rows"))
-    part = F.col("chunk") if chunked.split else F.lit(-1)
-    return grouped.select(*keys, part.alias("part"), F.transform("_rows", lambda r: r["_item"]).alias("items"))
+def ends(df: DataFrame, keys: list[str], order: list[str], item: str) -> DataFrame:
+    """How many items each key has, and which are the first and the last: one row per key at every size."""
+    place = F.struct(*order)
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(item, place).alias("first"), F.max_by(item, place).alias("last")
+    )
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:

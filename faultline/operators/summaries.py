@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline import vocab
-from faultline.functions.scalar import MICROS_PER_HOUR, actual_or_estimated, lookup, truthy
+from faultline.functions.scalar import MICROS_PER_HOUR, actual_or_estimated, lookup, round_even, truthy
 from faultline.operators.skew import HOT_ROWS, nearest_rank
 from faultline.operators.workflow import lead_profile
 
@@ -118,10 +118,10 @@ def bottleneck_summary(
         *GROUP,
         "request_count",
         "delayed_count",
-        F.round(F.col("delayed_count") / F.col("request_count"), 4).alias("delay_rate"),
-        F.round(F.col("_hours") / F.col("request_count"), 2).alias("avg_duration_hours"),
-        F.round(F.col("picked") / F.lit(float(MICROS_PER_HOUR)), 2).alias("p90_duration_hours"),
-        F.round("_delay", 2).alias("total_delay_hours"),
+        round_even(F.col("delayed_count") / F.col("request_count"), 4).alias("delay_rate"),
+        round_even(F.col("_hours") / F.col("request_count"), 2).alias("avg_duration_hours"),
+        round_even(F.col("picked") / F.lit(float(MICROS_PER_HOUR)), 2).alias("p90_duration_hours"),
+        round_even("_delay", 2).alias("total_delay_hours"),
     )
 
 
@@ -181,8 +181,8 @@ def asset_delay_summary(
             n,
             "delayed_request_count",
             F.when(n > 1, n).otherwise(F.lit(0)).alias("repeat_failure_count"),
-            F.round(F.col("_down") + F.col("_delay"), 2).alias("total_downtime_hours"),
-            F.round(F.coalesce(F.try_divide("_repair", "_repairs"), F.lit(0.0)), 2).alias(
+            round_even(F.col("_down") + F.col("_delay"), 2).alias("total_downtime_hours"),
+            round_even(F.coalesce(F.try_divide("_repair", "_repairs"), F.lit(0.0)), 2).alias(
                 "avg_repair_duration_hours"
             ),
             F.col("top_value").alias("top_failure_mode"),
@@ -210,7 +210,7 @@ def zone_delay_summary(
         "open_request_count",
         "delayed_request_count",
         "critical_asset_delayed_count",
-        F.round(F.col("_down") + F.col("_delay"), 2).alias("total_downtime_hours"),
+        round_even(F.col("_down") + F.col("_delay"), 2).alias("total_downtime_hours"),
         F.coalesce("top_value", F.lit("NONE")).alias("top_bottleneck_stage"),
     )
 
@@ -244,8 +244,8 @@ def spare_waiting_summary(
         "spare_name",
         "spare_category",
         "waiting_request_count",
-        F.round("_hours", 2).alias("total_wait_hours"),
-        F.round(F.col("_hours") / F.col("_records"), 2).alias("avg_wait_hours"),
+        round_even("_hours", 2).alias("total_wait_hours"),
+        round_even(F.col("_hours") / F.col("_records"), 2).alias("avg_wait_hours"),
         "critical_spare",
         "stock_status",
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline import vocab
 from faultline.functions.scalar import is_active, json_object, lookup, one_of
-from faultline.operators.skew import HOT_ROWS, chunk_hot_keys, listed
+from faultline.operators.skew import HOT_ROWS, chunk_hot_keys, ends
 
 PREFIX = "workflow_ontology_"
 
@@ -242,16 +242,14 @@ def stage_event_types(events: DataFrame) -> DataFrame:
     return emit(known_stage_events(events), (misplaced, row))
 
 
-def duplicate_stage_entries(events: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    groups = listed(
-        entered_events(events), ["incident_id", "stage"], ["occurred_at", "event_id"], "event_id", hot_rows
-    )
+def duplicate_stage_entries(events: DataFrame) -> DataFrame:
+    groups = ends(entered_events(events), ["incident_id", "stage"], ["occurred_at", "event_id"], "event_id")
     row = issue(
         PREFIX + "duplicate_stage_entry",
         "An incident has duplicate entered-stage evidence for a workflow stage.",
-        json_object(stage="stage", event_ids="items"),
+        json_object(stage="stage", event_count="n", first_event_id="first", last_event_id="last"),
     )
-    return emit(groups, ((F.size("items") > 1) | (F.col("part") >= 0), row))
+    return emit(groups, (F.col("n") > 1, row))
 
 
 def stage_progression(events: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
@@ -295,7 +293,13 @@ def stage_progression(events: DataFrame, hot_rows: int | None = HOT_ROWS) -> Dat
     )
 
 
-def restored_state(events: DataFrame, incidents: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def early_terminal_events(events: DataFrame, incidents: DataFrame) -> DataFrame:
+    """Entries of the terminal stage of incidents that are still active."""
+    active = incidents.where(is_active()).select("incident_id")
+    return entered_events(events).where(F.col("stage") == vocab.RESTORED).join(active, "incident_id", "left_semi")
+
+
+def restored_state(events: DataFrame, incidents: DataFrame) -> DataFrame:
     """Status and terminal evidence must agree, for incidents with at least one event of a known stage."""
     known = known_stage_events(events)
     entered = F.col("event_type") == vocab.ENTERED
@@ -318,9 +322,8 @@ def restored_state(events: DataFrame, incidents: DataFrame, hot_rows: int | None
             ),
         ),
     )
-    terminal = entered_events(events).where(F.col("stage") == vocab.RESTORED)
-    early = terminal.join(owners.where(is_active()).select("incident_id"), "incident_id", "left_semi")
-    lists = listed(early, ["incident_id"], ["occurred_at", "event_id"], "event_id", hot_rows)
+    early = early_terminal_events(events, incidents)
+    lists = ends(early, ["incident_id"], ["occurred_at", "event_id"], "event_id")
     still_active = emit(
         lists.join(owners, "incident_id"),
         (
@@ -328,7 +331,9 @@ def restored_state(events: DataFrame, incidents: DataFrame, hot_rows: int | None
             issue(
                 kind,
                 "The incident is active but event history entered the terminal RESTORED stage.",
-                json_object(current_status="current_status", restored_entered_event_ids="items"),
+                json_object(
+                    current_status="current_status", event_count="n", first_event_id="first", last_event_id="last"
+                ),
                 asset="asset_id",
             ),
         ),
@@ -339,7 +344,7 @@ def restored_state(events: DataFrame, incidents: DataFrame, hot_rows: int | None
 def transition_rules(events: DataFrame, incidents: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     return (
         stage_event_types(events)
-        .unionByName(duplicate_stage_entries(events, hot_rows))
+        .unionByName(duplicate_stage_entries(events))
         .unionByName(stage_progression(events, hot_rows))
-        .unionByName(restored_state(events, incidents, hot_rows))
+        .unionByName(restored_state(events, incidents))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline import vocab
-from faultline.functions.scalar import lookup, micros_between, plus_hours, truthy
+from faultline.functions.scalar import lookup, micros_between, plus_hours, round_even, truthy
 from faultline.functions.scalar import MICROS_PER_HOUR
 from faultline.operators.skew import HOT_ROWS, Chunked, chunk_hot_keys
 
@@ -120,10 +120,10 @@ def lead_time_table(leads: DataFrame) -> DataFrame:
         "stage",
         "entered_at",
         "exited_at",
-        F.round("duration_hours", 2).alias("duration_hours"),
-        F.round("threshold_hours", 2).alias("threshold_hours"),
+        round_even("duration_hours", 2).alias("duration_hours"),
+        round_even("threshold_hours", 2).alias("threshold_hours"),
         "is_bottleneck",
-        F.round("delay_hours", 2).alias("delay_hours"),
+        round_even("delay_hours", 2).alias("delay_hours"),
     )
 
 
@@ -216,9 +216,9 @@ def current_status(
             "current_stage",
             "current_status",
             F.col("rec.entered_at").alias("stage_entered_at"),
-            F.round("rec.duration_hours", 2).alias("hours_in_current_stage"),
+            round_even("rec.duration_hours", 2).alias("hours_in_current_stage"),
             (F.col("rec.is_bottleneck") | (F.col("needed_by_at") < as_of)).alias("is_delayed"),
-            F.round("rec.delay_hours", 2).alias("delay_hours"),
+            round_even("rec.delay_hours", 2).alias("delay_hours"),
             "needed_by_at",
             "priority_level",
             "business_impact",

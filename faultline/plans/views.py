@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline import vocab
 from faultline.functions import scoring
-from faultline.functions.scalar import actual_or_estimated, is_active, lookup, title_case
+from faultline.functions.scalar import actual_or_estimated, is_active, lookup, round_even, title_case
 from faultline.operators.workflow import latest_snapshots
 
 # --- runs and checks -----------------------------------------------------------------------------
@@ -386,13 +386,14 @@ def incident_detail(
     }
 
 
-def validation_status_summary(validations: DataFrame) -> DataFrame:
-    """"2 Passed / 1 Failed" per incident."""
+def validation_status_summary(incidents: DataFrame, validations: DataFrame) -> DataFrame:
+    """"2 Passed / 1 Failed" per incident, for incidents without any as well."""
     counts = validations.groupBy("incident_id", "validation_status").agg(F.count(F.lit(1)).alias("n"))
     part = F.concat_ws(" ", F.col("n").cast("string"), title_case("validation_status"))
     ordered = F.sort_array(F.collect_list(F.struct("validation_status", part.alias("text"))))
-    return counts.groupBy("incident_id").agg(
-        F.concat_ws(" / ", F.transform(ordered, lambda r: r["text"])).alias("validation_summary")
+    texts = counts.groupBy("incident_id").agg(F.concat_ws(" / ", F.transform(ordered, lambda r: r["text"])).alias("text"))
+    return incidents.select("incident_id").join(texts, "incident_id", "left").select(
+        "incident_id", F.coalesce("text", F.lit("No validation records")).alias("validation_summary")
     )
 
 
@@ -413,7 +414,7 @@ def _active_latest(incidents: DataFrame, snapshots: DataFrame) -> DataFrame:
 def _sum0(value: str | Column, places: int | None = None) -> Column:
     if places is None:
         return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
-    return F.round(F.coalesce(F.sum(value), F.lit(0.0)), places)
+    return round_even(F.coalesce(F.sum(value), F.lit(0.0)), places)
 
 
 def overview(
@@ -431,7 +432,7 @@ def overview(
     counts = incidents.agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.count_if(is_active()).alias("open_requests"),
-        F.round(F.coalesce(F.avg(actual_or_estimated()), F.lit(0.0)), 2).alias("avg_downtime_hours"),
+        round_even(F.coalesce(F.avg(actual_or_estimated()), F.lit(0.0)), 2).alias("avg_downtime_hours"),
     )
     critical = assets.select("asset_id", "criticality_level")
     late = (

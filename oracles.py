@@ -11,7 +11,7 @@ import re
 from faultline import schemas, vocab
 from faultline.operators.quality import CHECKS, check_number
 from faultline.sources import order_tables as m
-from faultline.sources.contracts import FEED_BY_CORE, RAW_FEEDS
+from faultline.sources.contracts import FEED_BY_CORE, RAW_FEEDS, TOPOLOGY_FEED
 
 CTES: dict[str, str] = {}
 
@@ -471,7 +471,7 @@ CTES["c_v_stage_event_types"] = issue(
 CTES["c_v_duplicate_stage_entries"] = issue(
     "(SELECT incident_id, stage, list(event_id ORDER BY occurred_at, event_id) AS ids FROM c_entered GROUP BY 1, 2) t",
     "len(ids) > 1", "workflow_ontology_duplicate_stage_entry",
-    "An incident has duplicate entered-stage evidence for a workflow stage.", js(stage="stage", event_ids="ids"))
+    "An incident has duplicate entered-stage evidence for a workflow stage.", js(stage="stage", event_count="len(ids)", first_event_id="ids[1]", last_event_id="ids[-1]"))
 _place = lookup("stage", {s: i for i, s in enumerate(vocab.STAGES)})
 CTES["c_steps"] = (
     f"SELECT *, {_place} AS place, lag(event_id) OVER w AS prev_id, lag(stage) OVER w AS prev_stage, "
@@ -495,7 +495,8 @@ CTES["c_v_restored_state"] = union(
     issue("c_terminal", "current_status <> 'RESTORED' AND len(coalesce(ids, [])) > 0",
           "workflow_ontology_invalid_restored_state",
           "The incident is active but event history entered the terminal RESTORED stage.",
-          js(current_status="current_status", restored_entered_event_ids="ids"), asset="asset_id"),
+          js(current_status="current_status", event_count="len(ids)", first_event_id="ids[1]", last_event_id="ids[-1]"),
+          asset="asset_id"),
     issue("c_terminal", "current_status = 'RESTORED' AND len(coalesce(ids, [])) = 0 AND restores = 0",
           "workflow_ontology_invalid_restored_state",
           "The incident is restored but has no terminal restore evidence.",
@@ -529,19 +530,22 @@ CTES["c_v_state_issues"] = union(
     issue("c_seen", "latest_entered IS NOT NULL AND current_status <> 'RESTORED' AND restore_count > 0",
           _state + "active_with_completion_event",
           "The incident is still active, but event history contains a restore event.",
-          js(current_status="current_status", completion_event_ids="restore_ids"), asset="asset_id"),
+          js(current_status="current_status", event_count="len(restore_ids)", first_event_id="restore_ids[1]",
+             last_event_id="restore_ids[-1]"), asset="asset_id"),
 )
 CTES["c_v_event_sequence_issues"] = issue(
     "(SELECT incident_id, i.asset_id, i.reported_at, list(event_id ORDER BY occurred_at, event_id) AS ids FROM c_events e "
     "JOIN c_incidents i USING (incident_id) WHERE e.occurred_at < i.reported_at GROUP BY 1, 2, 3) t", "true",
     "event_sequence_before_request", "A stage event occurred before the infrastructure request was reported.",
-    js(reported_at=iso("reported_at"), event_ids="ids"), asset="asset_id")
+    js(reported_at=iso("reported_at"), event_count="len(ids)", first_event_id="ids[1]", last_event_id="ids[-1]"),
+    asset="asset_id")
 CTES["c_v_spare_waiting_issues"] = issue(
     "(SELECT w.incident_id, i.asset_id, list(work_order_id ORDER BY work_order_id) AS ids FROM c_work_orders w "
     "LEFT JOIN c_incidents i USING (incident_id) WHERE work_order_status = 'WAITING_SPARE_VENDOR' AND "
     "coalesce(required_spare_id, '') = '' GROUP BY 1, 2) t", "true", "spare_waiting_missing_required_spare",
     "A work order is waiting on a spare or vendor, but no required spare is linked.",
-    js(work_order_ids="ids", work_order_status="'WAITING_SPARE_VENDOR'"), asset="asset_id")
+    js(work_order_count="len(ids)", first_work_order_id="ids[1]", last_work_order_id="ids[-1]",
+       work_order_status="'WAITING_SPARE_VENDOR'"), asset="asset_id")
 _done = "SELECT incident_id FROM c_work_orders WHERE work_order_status IN ('REPAIR_COMPLETED', 'RESTORED')"
 CTES["c_v_validation_issues"] = issue(
     "(SELECT v.*, i.asset_id FROM c_validations v LEFT JOIN c_incidents i USING (incident_id)) t",
@@ -1079,6 +1083,9 @@ FINAL: dict[str, str] = {
     "affected_gpu_count > 0 AND impact_confidence_status IN ('WARNING', 'UNVERIFIED') ORDER BY priority_rank LIMIT 50",
     "follow_ups_vendor_missed": "SELECT priority_rank, incident_id, redundancy_state, vendor_status FROM c_follow_ups "
     "WHERE redundancy_state = 'N-1' AND vendor_status = 'ETA_MISSED'",
+    "contracts": union(*[
+        f"SELECT '{feed.source_name}' AS source_name, '{feed.target_table}' AS target_table, {len(feed.required)} AS required, "
+        f"count(*) AS records FROM c_{feed.core}" for feed in (*RAW_FEEDS, TOPOLOGY_FEED)]),
     "queue_scope_sizes": union(*[
         f"SELECT '{name}' AS scope, count(*) FILTER ({where}) AS queue_items FROM c_follow_ups" for name, where in {
             "all": "true",
@@ -1112,9 +1119,10 @@ FINAL: dict[str, str] = {
     "reason_code, json_extract_string(metadata_json, '$.message') AS message FROM c_events",
     "work_orders_with_spares": "SELECT w.* EXCLUDE (h), s.spare_name AS required_spare_name, s.stock_status FROM "
     "c_work_orders w LEFT JOIN c_spares s ON s.spare_id = w.required_spare_id",
-    "validation_status_summary": "SELECT incident_id, string_agg(n || ' ' || upper(validation_status[1]) || "
-    "lower(validation_status[2:]), ' / ' ORDER BY validation_status) AS validation_summary FROM (SELECT incident_id, "
-    "validation_status, count(*) AS n FROM c_validations GROUP BY 1, 2) t GROUP BY incident_id",
+    "validation_status_summary": "SELECT i.incident_id, coalesce(v.t, 'No validation records') AS validation_summary FROM "
+    "c_incidents i LEFT JOIN (SELECT incident_id, string_agg(n || ' ' || upper(validation_status[1]) || "
+    "lower(validation_status[2:]), ' / ' ORDER BY validation_status) AS t FROM (SELECT incident_id, "
+    "validation_status, count(*) AS n FROM c_validations GROUP BY 1, 2) t GROUP BY incident_id) v USING (incident_id)",
     "overview": "SELECT i.*, s.*, b.*, w.*, r.*, m.*, l.*, q.* FROM (SELECT count(*) AS total_requests, count(*) FILTER "
     "(current_status <> 'RESTORED') AS open_requests, round(avg(coalesce(nullif(actual_downtime_hours, 0), "
     "estimated_downtime_hours)), 2) AS avg_downtime_hours FROM c_incidents) i, (SELECT count(*) AS delayed_requests, "
@@ -1227,5 +1235,21 @@ FINAL: dict[str, str] = {
 }
 
 
+def ties_to_even(sql: str) -> str:
+    """Writes every round(x, n) as a rounding to even of x * 10^n."""
+    at = 0
+    while match := re.compile(r"\bround\(").search(sql, at):
+        depth, comma, end = 1, None, match.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            comma = end if sql[end] == "," and depth == 1 else comma
+            end += 1
+        at = match.end()
+        if comma is not None:
+            value, scale = sql[match.end() : comma], f"1e{sql[comma + 1 : end - 1].strip()}"
+            sql = f"{sql[: match.start()]}(round_even(({value}) * {scale}, 0) / {scale}){sql[end:]}"
+    return sql
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: build(sql) for name, sql in FINAL.items()}
+    return {name: ties_to_even(build(sql)) for name, sql in FINAL.items()}

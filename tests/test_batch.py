@@ -17,23 +17,24 @@ def rows(df, *columns):
 def test_run_counts(batch):
     row, _ = batch
     assert row["status"] == "PARTIAL_SUCCESS"
-    assert (row["rows_extracted"], row["rows_loaded"], row["rows_rejected"]) == (142, 141, 1)
+    # 7 incident, 35 event, 3 order, 2 validation, 1 alert records; the repeated one is rejected
+    assert (row["rows_extracted"], row["rows_loaded"], row["rows_rejected"]) == (48, 47, 1)
     assert row["quality_failed_checks"] == 6
-    assert (row["core_records_loaded"], row["core_records_skipped"]) == (188, 1)
-    assert row["analytics_records_loaded"] == 348
-    assert row["reconciliation_issues_created"] == 8
+    # 5 + 35 + 3 + 2 + 1 of the feeds, 2 + 3 + 2 + 1 + 2 masters, 2 snapshots; the partial incident is skipped
+    assert (row["core_records_loaded"], row["core_records_skipped"]) == (58, 1)
+    assert row["reconciliation_issues_created"] == 7
 
 
 def test_core_and_analytics_counts(batch, core):
-    counts = {name: df.count() for name, df in core.items()}
-    assert counts == {
-        "zones": 5, "assets": 9, "dependencies": 8, "engineers": 7, "spares": 9, "incidents": 11, "events": 108,
-        "work_orders": 10, "validations": 5, "alerts": 6, "snapshots": 10,
+    assert {name: df.count() for name, df in core.items()} == {
+        "zones": 2, "assets": 3, "dependencies": 2, "engineers": 1, "spares": 2, "incidents": 5, "events": 35,
+        "work_orders": 3, "validations": 2, "alerts": 1, "snapshots": 2,
     }
     house = batch[1]
+    # lead times: 7 stages of P1 less the terminal one, 4 of P2, 2 of P3, 5 of P4, and P1's end
     sizes = {
-        "current_status": 10, "stage_lead_times": 48, "follow_up_queue": 7, "bottleneck_summary": 267,
-        "asset_delay_summary": 9, "zone_delay_summary": 5, "spare_waiting_summary": 2,
+        "current_status": 4, "stage_lead_times": 18, "follow_up_queue": 3, "asset_delay_summary": 3, "zone_delay_summary": 2,
+        "spare_waiting_summary": 1,
     }
     assert {name: house.snapshot("analytics", name).count() for name in sizes} == sizes
     assert house.run_parts("ops/checks").count() == 41
@@ -41,35 +42,37 @@ def test_core_and_analytics_counts(batch, core):
 
 def test_failed_checks(batch):
     failed = batch[1].run_parts("ops/checks").where("status <> 'PASS'")
-    assert {(t, c): n for t, c, n in rows(failed, "target_table", "check_name", "failed_row_count")} == {
-        ("raw_infrastructure_incidents", "duplicate_source_record"): 1,
-        ("raw_infrastructure_incidents", "missing_required_fields"): 1,
-        ("infrastructure_incidents", "infrastructure_incident_without_stage_event"): 1,
-        ("incident_stage_events", "stage_event_timestamp_out_of_order"): 1,
-        ("facility_work_orders", "spare_waiting_without_required_spare"): 1,
-        ("validation_results", "validation_without_completed_work"): 1,
+    assert {(t, c): tuple(k) for t, c, k in rows(failed, "target_table", "check_name", "sample_failed_keys")
+            if t != "raw_infrastructure_incidents"} == {
+        ("infrastructure_incidents", "infrastructure_incident_without_stage_event"): ("P5",),
+        ("incident_stage_events", "stage_event_timestamp_out_of_order"): ("f0",),
+        ("facility_work_orders", "spare_waiting_without_required_spare"): ("W4",),
+        ("validation_results", "validation_without_completed_work"): ("V3",),
+    }
+    raw = failed.where("target_table = 'raw_infrastructure_incidents'")
+    assert {c: (n, k[0].split(":")[1].split(" ")[0]) for c, n, k in rows(raw, "check_name", "failed_row_count", "sample_failed_keys")} == {
+        "duplicate_source_record": (1, "i-P1"), "missing_required_fields": (1, "i-partial"),
     }
 
 
 def test_queue(batch):
     queue = batch[1].snapshot("analytics", "follow_up_queue").orderBy("priority_rank")
-    assert rows(queue, "priority_rank", "incident_id", "total_priority_score") == [
-        (1, "INC-0007", 222.0), (2, "INC-0004", 216.23), (3, "INC-0006", 145.8), (4, "INC-0002", 143.23),
-        (5, "INC-0003", 132.2), (6, "INC-0005", 125.97), (7, "INC-0009", 94.0),
-    ]
-    top = queue.first()
-    assert (top.capacity_risk_score, top.redundancy_risk_score, top.vendor_eta_risk_score) == (30.0, 24.0, 22.0)
-    assert top.recommended_action == "Escalate missed vendor ETA and confirm recovery path"
-    second = queue.where("incident_id = 'INC-0004'").first()
-    assert [second[c] for c in (
+    assert rows(queue, "priority_rank", "incident_id", "total_priority_score") == [(1, "P2", 208.96), (2, "P4", 84.0), (3, "P3", 58.13)]
+    scores = [
         "asset_criticality_score", "downtime_score", "stage_delay_score", "infrastructure_zone_impact_score",
         "needed_by_urgency_score", "repeat_failure_score", "spare_risk_score", "capacity_risk_score",
         "redundancy_risk_score", "thermal_risk_score", "vendor_eta_risk_score", "mitigation_credit_score",
-    )] == [35.0, 26.4, 22.33, 16.0, 24.0, 0.0, 22.0, 30.0, 18.0, 12.5, 18.0, 8.0]
-    assert second.reason_summary == (
-        "CRITICAL asset in Zone COOL-A is delayed in SPARE_VENDOR_WAITING for 85.0 hours. Impact rationale: "
-        "256 affected GPUs and 620 kW at risk; N redundancy exposure; 75 thermal breach minutes; "
-        "vendor status WAITING_VENDOR_DISPATCH; mitigation LOAD_SHIFTED."
+    ]
+    first, second, third = queue.collect()
+    # 20 h x 1.2; 73 h late / 3; needed long ago; out of stock and critical; 100 / 10 + 262.5 / 100 = 12.625, tie to even
+    assert [first[c] for c in scores] == [35.0, 24.0, 24.33, 16.0, 24.0, 0.0, 22.0, 12.62, 24.0, 5.0, 22.0, 0.0]
+    # pump 1 has two incidents; a waiting order without spare
+    assert [second[c] for c in scores] == [5.0, 12.0, 9.0, 16.0, 24.0, 8.0, 14.0, 0.0, 0.0, 0.0, 0.0, 4.0]
+    assert [third[c] for c in scores] == [12.0, 4.8, 5.33, 4.0, 24.0, 8.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    assert first.recommended_action == "Escalate missed vendor ETA and confirm recovery path"
+    assert first.reason_summary == (
+        "CRITICAL asset in WEST side is delayed in SPARE_VENDOR_WAITING for 91.0 hours. Impact rationale: 100 affected "
+        "GPUs and 262 kW at risk; N-1 redundancy exposure; 30 thermal breach minutes; vendor status ETA_MISSED."
     )
 
 
@@ -79,75 +82,65 @@ def test_stage_totals(batch):
         stages, "stage", "request_count", "delayed_count", "total_delay_hours", "avg_duration_hours",
         "p90_duration_hours")}
     assert found == {
-        "INCIDENT_REPORTED": (10, 0, 0.0, 1.0, 1.0),
-        "FACILITIES_TRIAGE": (10, 1, 97.0, 13.9, 5.0),
-        "ENGINEER_ASSIGNED": (9, 2, 132.0, 18.56, 51.0),
-        "SPARE_VENDOR_WAITING": (7, 2, 112.0, 23.57, 63.0),
-        "REPAIR_IN_PROGRESS": (5, 1, 50.0, 23.0, 74.0),
-        "VALIDATION": (4, 1, 51.0, 17.0, 59.0),
+        "INCIDENT_REPORTED": (4, 0, 0.0, 0.88, 1.0),  # 0.5, 1, 1, 1: 0.875
+        "FACILITIES_TRIAGE": (4, 1, 16.0, 6.75, 24.0),  # 0.5, 0.5, 24, 2
+        "ENGINEER_ASSIGNED": (3, 0, 0.0, 0.67, 1.0),  # 0.5, 0.5, 1
+        "SPARE_VENDOR_WAITING": (3, 1, 73.0, 31.17, 91.0),  # 0.5, 91, 2
+        "REPAIR_IN_PROGRESS": (2, 1, 27.0, 26.0, 51.0),  # 1, 51
+        "VALIDATION": (1, 0, 0.0, 1.0, 1.0),
     }
 
 
 def test_delay_summaries(batch):
     house = batch[1]
     assets = house.snapshot("analytics", "asset_delay_summary")
-    assert {r[0][6:]: r[1] for r in rows(assets, "asset_id", "total_downtime_hours")} == {
-        "UPS-01": 107, "PDU-01": 101, "CHILLER-01": 89, "GEN-01": 75, "CDU-01": 66, "CRAH-02": 59, "RACK-01": 54,
-        "CRAH-01": 49, "SWGR-01": 26,
-    }
-    crah = assets.where("asset_id = 'ASSET-CRAH-01'").first()
-    assert (crah.request_count, crah.repeat_failure_count) == (2, 2)
-    assert crah.top_failure_mode == "FAN_BEARING_WEAR"
+    # downtime and delay: 4 + 10 + 27; 20 + 73; 4 + 16
+    assert {r[0]: r[1] for r in rows(assets, "asset_id", "total_downtime_hours")} == {"PUMP-1": 41, "PUMP-2": 93, "VALVE": 20}
+    pump = assets.where("asset_id = 'PUMP-1'").first()
+    assert (pump.request_count, pump.repeat_failure_count, pump.top_failure_mode) == (2, 2, "LEAK")
     zones = house.snapshot("analytics", "zone_delay_summary")
-    assert {r[0][5:]: r[1] for r in rows(zones, "zone_id", "total_downtime_hours")} == {
-        "POWER-A": 208, "GPU-A": 162, "COOL-A": 155, "BACKUP": 75, "DCIM": 26,
-    }
-    spare = house.snapshot("analytics", "spare_waiting_summary").orderBy(F.desc("total_wait_hours")).first()
-    assert (spare.spare_name, spare.total_wait_hours, spare.waiting_request_count) == ("CHILLER-COMPRESSOR", 85.0, 1)
+    assert {r[0]: r[1] for r in rows(zones, "zone_id", "total_downtime_hours")} == {"WEST": 134, "EAST": 20}
+    spare = house.snapshot("analytics", "spare_waiting_summary").first()
+    assert (spare.spare_name, spare.total_wait_hours, spare.waiting_request_count) == ("ROTOR", 91.0, 1)
 
 
 def test_issues(batch):
     issues = batch[1].run_parts("ops/issues")
-    assert sorted(rows(issues, "incident_id", "issue_type")) == sorted([
-        ("INC-0001", "event_sequence_before_request"),
-        ("INC-0002", "validation_without_completed_work"),
-        ("INC-0003", "impact_mitigation_without_event_evidence"),
-        ("INC-0004", "impact_vendor_eta_past_not_missed"),
-        ("INC-0004", "spare_waiting_missing_required_spare"),
-        ("INC-0007", "impact_mitigation_without_event_evidence"),
-        ("INC-QA-NO-STAGE", "analytics_output_missing_current_status"),
-        ("INC-QA-NO-STAGE", "state_reconstruction_missing_stage_event"),
-    ])
+    assert [r[:2] for r in sorted(rows(issues, "incident_id", "issue_type", "issue_id"), key=lambda r: r[2])] == [
+        ("P2", "impact_thermal_context_missing_evidence"),
+        ("P3", "validation_without_completed_work"),
+        ("P4", "event_sequence_before_request"),
+        ("P4", "impact_mitigation_without_event_evidence"),
+        ("P4", "spare_waiting_missing_required_spare"),
+        ("P5", "analytics_output_missing_current_status"),
+        ("P5", "state_reconstruction_missing_stage_event"),
+    ]
     evidence = {(r[0], r[1]): json.loads(r[2]) for r in rows(issues, "incident_id", "issue_type", "evidence_json")}
-    assert evidence["INC-0004", "impact_vendor_eta_past_not_missed"] == {
-        "vendor_status": "WAITING_VENDOR_DISPATCH",
-        "vendor_eta_at": "2026-01-07T16:00:00",
-        "analytics_as_of": "2026-01-10T03:00:00",
-    }
-    assert evidence["INC-0007", "impact_mitigation_without_event_evidence"] == {
+    assert evidence["P4", "impact_mitigation_without_event_evidence"] == {
         "mitigation_status": "RUNNING_DEGRADED",
         "expected_event_type": "MITIGATION_APPLIED",
-        "latest_snapshot_id": "IMPACT-0007",
-        "latest_snapshot_at": "2026-01-09T22:00:00",
+        "latest_snapshot_id": "S4",
+        "latest_snapshot_at": "2030-03-03T00:00:00",
     }
-    assert evidence["INC-0004", "spare_waiting_missing_required_spare"] == {
-        "work_order_ids": ["MWO-QA-NO-PART"],
+    assert evidence["P4", "spare_waiting_missing_required_spare"] == {
+        "work_order_count": 1,
+        "first_work_order_id": "W4",
+        "last_work_order_id": "W4",
         "work_order_status": "WAITING_SPARE_VENDOR",
     }
-    ids = sorted(r[0] for r in rows(issues, "issue_id"))
-    assert ids == [f"REC-RUN-1-{n:03d}" for n in range(1, 9)]
+    assert sorted(r[0] for r in rows(issues, "issue_id")) == [f"REC-RUN-1-{n:03d}" for n in range(1, 8)]
 
 
 def test_second_run_rejects_everything(spark, extract_dir, tmp_path):
     root = str(tmp_path / "w")
     run_batch(spark, extract_dir, root, run_id="RUN-A")
     second = run_batch(spark, extract_dir, root, run_id="RUN-B")
-    assert (second["rows_loaded"], second["rows_rejected"]) == (0, 142)
+    assert (second["rows_loaded"], second["rows_rejected"]) == (0, 48)
     house = Warehouse(spark, root)
     assert house.latest_committed() == "RUN-B"
-    assert house.run_parts("raw/incidents").count() == 12
-    assert house.snapshot("core", "incidents").count() == 11
-    assert house.snapshot("analytics", "follow_up_queue").count() == 7
+    assert house.run_parts("raw/incidents").count() == 6
+    assert house.snapshot("core", "incidents").count() == 5
+    assert house.snapshot("analytics", "follow_up_queue").count() == 3
 
 
 def test_failure_is_recorded_and_keeps_the_last_good_tables(spark, extract_dir, tmp_path):
@@ -165,4 +158,4 @@ def test_failure_is_recorded_and_keeps_the_last_good_tables(spark, extract_dir,
 def test_as_of_is_read_from_workflow_events(spark, core):
     from faultline.operators.workflow import default_as_of
 
-    assert spark.range(1).select(default_as_of(core["events"]).alias("t")).first().t == datetime(2026, 1, 10, 3)
+    assert spark.range(1).select(default_as_of(core["events"]).alias("t")).first().t == datetime(2030, 3, 5, 3)

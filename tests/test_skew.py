@@ -1,5 +1,6 @@
 """Keys too large for one task: the chunked paths must give what the plain ones give."""
 
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline import schemas
-from faultline.operators import followup, skew, summaries, validators, workflow
+from faultline.operators import followup, reconcile, skew, summaries, validators, workflow
 from faultline.vocab import EXIT_EVENT, STAGES
 
 AS_OF = datetime(2026, 3, 1)
@@ -65,14 +66,23 @@ def test_progression_is_the_same_in_chunks(events):
     assert rows(validators.stage_progression(events, 20)) == rows(plain)
 
 
-def test_lists_of_a_hot_key_come_in_parts_and_stay_whole(events):
-    entered = validators.entered_events(events)
-    order = ["occurred_at", "event_id"]
-    whole = skew.listed(entered, ["incident_id"], order, "event_id", None).where("incident_id = 'INC-HOT'").first()
-    parts = skew.listed(entered, ["incident_id"], order, "event_id", 20).where("incident_id = 'INC-HOT'")
-    pieces = parts.orderBy("part").collect()
-    assert len(pieces) > 1
-    assert [i for p in pieces for i in p["items"]] == whole["items"]
+def test_one_issue_per_stage_and_all_its_events_in_the_long_table(spark, events):
+    entered = {}
+    for r in sorted(validators.entered_events(events).collect(), key=lambda r: (r.occurred_at, r.event_id)):
+        entered.setdefault((r.incident_id, r.stage), []).append(r.event_id)
+    repeated = {k: v for k, v in entered.items() if len(v) > 1}
+    found = validators.duplicate_stage_entries(events).collect()
+    assert len(found) == len(repeated) and any(len(v) > 20 for v in repeated.values())
+    for r in found:
+        evidence = json.loads(r.evidence_json)
+        ids = repeated[r.incident_id, evidence["stage"]]
+        assert (evidence["event_count"], evidence["first_event_id"], evidence["last_event_id"]) == (len(ids), ids[0], ids[-1])
+    incidents = spark.createDataFrame([], schemas.CORE["incidents"])
+    orders = spark.createDataFrame([], schemas.CORE["work_orders"])
+    long = reconcile.issue_evidence(incidents, events, orders)
+    assert sorted((r.incident_id, r.stage, r.record_id) for r in long.collect()) == sorted(
+        (*k, i) for k, v in repeated.items() for i in v
+    )
 
 
 def test_global_rank_matches_a_sort(spark):

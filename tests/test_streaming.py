@@ -17,5 +17,5 @@ def test_redelivered_files_load_nothing_new(spark, extract_dir, tmp_path):
         query.awaitTermination()
         return spark.read.parquet(str(tmp_path / "raw" / feed.target_table)).count()
 
-    assert deliver("a.json") == 12
-    assert deliver("b.json") == 12
+    assert deliver("a.json") == 6
+    assert deliver("b.json") == 6

@@ -14,10 +14,11 @@ from faultline.operators import findings, followup, graph, quality, reconcile, s
 from faultline.operators.raw_load import rejected_keys, split_duplicates
 from faultline.plans import views
 from faultline.plans.analytics import Analytics
-from faultline.sources.contracts import FEED_BY_CORE, RAW_FEEDS
+from faultline.sources.contracts import FEED_BY_CORE, RAW_FEEDS, TOPOLOGY_FEED, contract_table
 from faultline.sources.order_tables import incident_tables, raw_feeds
 
 RUN = "RUN-1"
+CONTRACT_TABLES = {feed.core: feed.target_table for feed in (*RAW_FEEDS, TOPOLOGY_FEED)}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -49,9 +50,11 @@ class Model:
     def impact_counts(self) -> DataFrame:
         return views.impact_issue_counts(self.impact_issues())
 
-    def follow_ups(self) -> DataFrame:
+    def follow_ups(self, ranked: bool = True) -> DataFrame:
+        """Rows of the queue; where no rank is shown, none is computed."""
+        queue = self.queue() if ranked else followup.shown(self.analytics.scored_incidents())
         return views.follow_up_rows(
-            self.queue(), self.incidents, self.assets, self.zones, self.status, self.snapshots, self.impact_counts()
+            queue, self.incidents, self.assets, self.zones, self.status, self.snapshots, self.impact_counts()
         )
 
     def issues(self) -> DataFrame:
@@ -356,6 +359,17 @@ def follow_ups_vendor_missed(m: Model) -> DataFrame:
     )
 
 
+@query
+def contracts(m: Model) -> DataFrame:
+    """What each feed must carry, with the records that the tables give it."""
+    sizes = reduce(
+        DataFrame.unionByName,
+        [m.core[core].agg(F.lit(name).alias("target_table"), F.count("*").alias("records")) for core, name in CONTRACT_TABLES.items()],
+    )
+    table = contract_table(m.spark).select("source_name", "target_table", F.size("required_payload_fields").alias("required"))
+    return table.join(sizes, "target_table")
+
+
 @query
 def queue_scope_sizes(m: Model) -> DataFrame:
     return views.scope_sizes(m.follow_ups())
@@ -389,7 +403,7 @@ def work_orders_with_spares(m: Model) -> DataFrame:
 
 @query
 def validation_status_summary(m: Model) -> DataFrame:
-    return views.validation_status_summary(m.validations)
+    return views.validation_status_summary(m.incidents, m.validations)
 
 
 # --- overview ---------------------------------------------------------------------------------------------------
