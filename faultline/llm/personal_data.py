@@ -3,8 +3,8 @@
 How strongly a term reveals a kind of entity is estimated from the whole corpus: its pointwise mutual information with standing
 next to an entity of that kind, divided by the information content of the kind. The ratio is 1 for a term that stands nowhere
 else. Terms next to an entity whose ratio reaches GENERALISE are replaced by a placeholder, from REMOVE on they are removed.
-Joint counts take each (entity value, term) once, so copies of a document aren't evidence; counts of terms in all texts are kept
-in hash buckets, where a collision only makes a term look less revealing.
+Joint counts take each (entity value, term) once, so copies of a document aren't evidence. The terms with enough support are then
+counted exactly in all texts: a bit table of fixed size passes them in each task, and the join with them drops what it lets through.
 
 Defined results: a null or empty text has no spans. Repeated rows give repeated results, also without id. An empty table gives
 an empty one. Other columns aren't read by `personal_spans`; `sanitise` passes them on, with text and n_chars renewed.
@@ -39,7 +39,10 @@ CONTEXT = 5
 #: Distinct entity values a term must stand next to.
 SUPPORT = 10
 GENERALISE, REMOVE = 0.6, 0.9
-BUCKETS = 1 << 18
+#: Bits of a table that lets members of a set of hashes through; others that it lets through are dropped by an exact step later.
+BITS = 1 << 26
+#: Counted terms that a task holds before it passes them on.
+HELD = 1 << 20
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _DIGITS = re.compile(rb"[0-9]")
 
@@ -110,20 +113,16 @@ CONTEXTS = "array<struct<kind: string, value: long, term: long, start: long, end
 CONTEXTS_ARROW = pa.list_(
     pa.struct([("kind", pa.string()), ("value", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 )
-FOUND = f"doc_id long, text_key long, spans {SPANS}, contexts {CONTEXTS}, bucket long, n long"
+FOUND = f"doc_id long, text_key long, spans {SPANS}, contexts {CONTEXTS}"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One pass over the texts. Rows with spans are documents; rows with a bucket count its terms in the texts of a task."""
+    """One pass over the texts: the entities of every row and the terms next to them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
         for part in common.slices(batches):
-            raws = common.raw_bytes(part.column("text"))
-            hashes = common.Words([r.translate(_LETTERS) for r in raws]).hashes()
-            counts += np.bincount((hashes & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
             spans, near = [], []
-            for raw in raws:
+            for raw in common.raw_bytes(part.column("text")):
                 found = []
                 if b"@" in raw or _DIGITS.search(raw):
                     text = raw.decode()
@@ -131,30 +130,70 @@ def scan(docs: DataFrame) -> DataFrame:
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
                 near.append(context(raw, text, found) if found else [])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text_key"), pa.array(spans, SPANS_ARROW), pa.array(near, CONTEXTS_ARROW)]
-                + [pa.nulls(part.num_rows, pa.int64())] * 2,
-                names=["doc_id", "text_key", "spans", "contexts", "bucket", "n"],
+                [part.column("doc_id"), part.column("text_key"), pa.array(spans, SPANS_ARROW), pa.array(near, CONTEXTS_ARROW)],
+                names=["doc_id", "text_key", "spans", "contexts"],
             )
-        full = np.flatnonzero(counts)
-        none = pa.nulls(len(full), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [none, none, pa.nulls(len(full), SPANS_ARROW), pa.nulls(len(full), CONTEXTS_ARROW), pa.array(full), pa.array(counts[full])],
-            names=["doc_id", "text_key", "spans", "contexts", "bucket", "n"],
-        )
 
-    rows = common.texts(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return common.store(rows.mapInArrow(run, FOUND), "personal")
+    return common.store(keyed(docs).mapInArrow(run, FOUND), "personal")
 
 
-def revealing(found: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
+    return common.texts(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+
+
+def bit_table(rows: DataFrame, column: str) -> np.ndarray:
+    """The low bits of the hashes of a column, as a table of BITS bits."""
+    place = F.col(column).bitwiseAND(F.lit(BITS - 1)) + 1
+    rows = rows.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("at"))
+    table = np.zeros((BITS >> 15, 4096), np.uint8)
+    for r in rows.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect():  # BITS / 8 bytes at most
+        table[r.part - 1] = np.frombuffer(r.bits, np.uint8)
+    return table.reshape(-1)
+
+
+def maybe_in(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be members; all members are."""
+    place = hashes.astype(np.uint64) & np.uint64(BITS - 1)
+    return (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    keys, back = np.unique(keys, return_inverse=True)
+    out = np.zeros(len(keys), np.int64)
+    np.add.at(out, back, counts)
+    return keys, out
+
+
+def count_terms(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(term, n) of the terms that a bit table lets through, in all texts; the row without a term counts all terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        for part in common.slices(batches):
+            hashes = common.Words([r.translate(_LETTERS) for r in common.raw_bytes(part.column("text"))]).hashes()
+            total += len(hashes)
+            own, n = np.unique(hashes[maybe_in(wanted, hashes)], return_counts=True)
+            terms, counts = summed(np.concatenate([terms, own]), np.concatenate([counts, n]))
+            if len(terms) > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts)], names=["term", "n"])
+                terms, counts = terms[:0], counts[:0]
+        terms, counts = [*terms.view(np.int64).tolist(), None], [*counts.tolist(), total]
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(counts, pa.int64())], names=["term", "n"])
+
+    rows = common.texts(docs).select("text").mapInArrow(run, "term long, n long")
+    return common.store(rows.groupBy("term").agg(F.sum("n").alias("n")), "counts")
+
+
+def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(kind, term, ratio) of the terms that reveal a kind of entity."""
-    near = found.filter("bucket is null").select(F.explode("contexts").alias("c")).select("c.kind", "c.value", "c.term").distinct()
-    joint = near.groupBy("kind", "term").agg(F.count("*").alias("joint"))
+    near = found.select(F.explode("contexts").alias("c")).select("c.kind", "c.value", "c.term").distinct()
+    joint = common.store(near.groupBy("kind", "term").agg(F.count("*").alias("joint")), "joint")
     kinds = joint.groupBy("kind").agg(F.sum("joint").alias("of_kind"))  # four rows at most
-    counts = found.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n"))  # BUCKETS rows at most
-    total = counts.agg(F.sum("n").alias("total"))
-    joint = joint.filter(F.col("joint") >= SUPPORT).withColumn("bucket", F.col("term").bitwiseAND(F.lit(BUCKETS - 1)))
-    rows = joint.join(F.broadcast(counts), "bucket").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(total))
+    joint = joint.filter(F.col("joint") >= SUPPORT)
+    counts = count_terms(docs, bit_table(joint, "term"))
+    total = counts.filter("term is null").select(F.col("n").alias("total"))
+    rows = joint.join(counts, "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(total))
     seen = F.greatest("n", "joint").cast("double")
     information = F.greatest(F.log2(F.col("total") / F.col("of_kind")), F.lit(1e-9))
     shared = F.log2(F.col("joint") * F.col("total").cast("double") / (seen * F.col("of_kind")))
@@ -164,14 +203,13 @@ def revealing(found: DataFrame) -> DataFrame:
 def personal_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, spans) of every row, by start, then kind; the added spans stand next to those of the patterns."""
     found = scan(docs)
-    terms = common.store(revealing(found), "terms")
-    rows = found.filter("bucket is null")
-    near = rows.select("doc_id", "text_key", F.explode("contexts").alias("c")).select("doc_id", "text_key", "c.*")
+    terms = common.store(revealing(docs, found), "terms")
+    near = found.select("doc_id", "text_key", F.explode("contexts").alias("c")).select("doc_id", "text_key", "c.*")
     hits = near.join(terms, ["kind", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.max("ratio").alias("ratio"))
     kind = F.when(F.col("ratio") >= REMOVE, F.lit(ADDED[1])).otherwise(F.lit(ADDED[0]))
     added = hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(kind.alias("kind"), "start", "end")).alias("added"))
     added = added.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    joined = rows.join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    joined = found.join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     order = F.array(*map(F.lit, [*KINDS, *ADDED]))
     both = F.concat("spans", F.coalesce("added", F.array().cast(SPANS)))
     ranked = F.transform(both, lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["end"].alias("end")))

@@ -89,3 +89,14 @@ def test_revealing_terms(spark, make_docs):
 def test_empty_table(make_docs):
     assert pd.personal_spans(make_docs([])).count() == 0 and pd.sanitise(make_docs([])).count() == 0
     assert pd.ratio_of(10, 10, 100, 10000) == 1.0
+
+
+def test_terms_are_counted_exactly(spark, make_docs):
+    """A cue among more distinct terms than any table of fixed size would keep apart."""
+    rows = [(i, f"before hotline: +1 (569) 555-{1000 + i} behind") for i in range(40)]
+    letters = "abcdefghijklmnopqrst"
+    name = lambda n: "".join(letters[n // 20**k % 20] for k in range(5))
+    rows += [(1000 + d, " ".join([name(d * 20000 + n) for n in range(20000)] * 2)) for d in range(25)]
+    docs = make_docs(rows)
+    terms = pd.revealing(docs, pd.scan(docs)).collect()
+    assert sorted(r.ratio for r in terms) == [1.0] * 3 and {r.kind for r in terms} == {"phone"}
