@@ -100,3 +100,44 @@ def test_terms_are_counted_exactly(spark, make_docs):
     docs = make_docs(rows)
     terms = pd.revealing(docs, pd.scan(docs)).collect()
     assert sorted(r.ratio for r in terms) == [1.0] * 3 and {r.kind for r in terms} == {"phone"}
+
+
+def test_terms_of_single_values(spark, make_docs):
+    """Every (value, term) by brute force; a nickname on another line than its address is found, however few addresses it has."""
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in ("th", "on", "er", "re", "wh", "é") for b in ("an", "is", "ed", "ou", "ting")]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, f"{text(9)} nickname\n{text(20)}\nwrite to own{i % 3}@mail.org {text(9)}") for i in range(12)]
+    rows += [(100 + i, f"zorro {text(20)}\n{text(20)} zorro\nask z@mail.org or +1 (569) 555-8554") for i in range(14)]
+    rows += [(200 + i, f"zorro {text(20)}") for i in range(3)] + [(300 + i, text(40)) for i in range(400)]
+    rows += [(800 + i, rows[3][1]) for i in range(30)] + [(900 + i, f"copied rare once@mail.org {words[0]}") for i in range(30)] + [(100, rows[12][1])]
+    docs = make_docs(rows)
+    terms_of = lambda t: set(re.findall(r"[a-zé]+", t.lower()))
+    texts = sorted({t for _, t in rows})
+    values, joint, alone = {}, {}, {}
+    for t in texts:
+        spans, free = brute(t), t
+        for _, a, b in spans:
+            free = free[:a] + " " * (b - a) + free[b:]
+        for w in terms_of(t):
+            alone[w] = alone.get(w, 0) + 1
+        for v in {(k, t[a:b]) for k, a, b in spans}:
+            values[v] = values.get(v, 0) + 1
+            for w in terms_of(free):
+                joint[v, w] = joint.get((v, w), 0) + 1
+    ratio = {k: pd.ratio_of(n, alone[k[1]], values[k[0]], len(texts)) for k, n in joint.items() if n >= pd.SUPPORT}
+    expected = sorted(round(r, 9) for r in ratio.values() if r >= pd.GENERALISE)
+    found = pd.scan(docs)
+    assert sorted(round(r.ratio, 9) for r in pd.revealing_values(docs, found).collect()) == expected and len(expected) > 2
+    spans = {r.doc_id: r.spans for r in pd.personal_spans(docs).collect()}
+    for i, t in rows:
+        marked = {(s["start"], s["end"]) for s in spans[i] if s["kind"] in pd.ADDED}
+        has = {(k, t[a:b]) for k, a, b in brute(t)}
+        reveals = {w for (v, w), r in ratio.items() if v in has and r >= pd.GENERALISE}
+        assert {m.span() for m in re.finditer("[a-zé]+", t) if m[0] in reveals} <= marked
+        if 100 <= i < 114:
+            assert "zorro" in reveals and len([1 for a, b in marked if t[a:b] == "zorro"]) == 2
+        if i >= 200:
+            assert "zorro" not in {t[a:b] for a, b in marked} and "rare" not in {t[a:b] for a, b in marked}
+    left = {r.doc_id: r.text for r in pd.sanitise(docs).collect()}
+    assert "zorro" not in left[105] and "zorro" in left[201]
