@@ -26,8 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    return decontaminate.drop_leaks(docs, common.read(spark, folder, "benchmark"))
+    """Documents without a passage of the benchmark, word for word or with few changed words."""
+    return decontaminate.drop_leaks(docs, common.read(spark, folder, "benchmark"), edited=True)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -5,12 +5,14 @@ one of them. A passage is a query of its distinct words. An item's scores are di
 threshold fits all items. The search is WAND over many passages at a time: the sum of each word's greatest impact rules out
 passages, the sums of block maxima rule out blocks of items, and only items of the remaining blocks are scored. All three are
 upper bounds, so every item at or above the threshold is found. A hit counts as a leak if enough word triples of the item's
-question and of its answer stand in the passage.
+question and of its answer stand in the passage. With `edited`, as in the query and the pipeline, it also does with most triples
+of the whole item, and single words of an answer count if they stand close to one another: few changed words leave an answer of few
+triples none of them.
 
 Items are dealt into shards of bounded size; every shard is broadcast and searched with all passages in turn.
 
 Defined results: null or empty texts and items have no words and give nothing. Repeated rows give repeated results; of items
-with the same id, any may match. Empty tables give an empty result. Rows without id are searched like all others. Other columns
+with the same id, any may match; an item without id goes by the hash of its text. Empty tables give an empty result. Rows without id are searched like all others. Other columns
 are not read by `leaks`; `drop_leaks` passes them on.
 """
 
@@ -32,6 +34,12 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 #: Least share of the word triples of question and of answer.
 OVERLAP = 0.5
+#: Least share of the word triples of a whole item, whatever its parts have.
+WHOLE = 0.7
+#: Answers with fewer triples also count by single words: two changed words leave half of so many triples.
+FEW = 12
+#: Words that may stand between those of an answer.
+LOOSE = 2
 GRAM = 3
 #: Items of a block: fewer make tighter bounds, more make fewer of them.
 BLOCK = 4
@@ -81,6 +89,8 @@ class Index:
     blocks: list[tuple[np.ndarray, np.ndarray]]  # of each block its terms and their impacts on its items
     question: list[np.ndarray]
     answer: list[np.ndarray]
+    whole: list[np.ndarray]
+    answer_words: list[np.ndarray]  # of answers with few triples, else none
     stride: int
 
     @classmethod
@@ -107,8 +117,11 @@ class Index:
             block_max[own, k] = np.nextafter(table.max(axis=1).astype(np.float32), np.float32(2))
         parts = [question_and_answer(t) for _, t in items]
         sides = [[grams(word_hashes([p[side].encode()])[1]) for p in parts] for side in (0, 1)]
+        whole = [grams(hashes[words.first[i] : words.first[i + 1]]) for i in range(len(items))]
+        said = [word_hashes([answer.encode()])[1] for _, answer in parts]
+        said = [w if len(a) < FEW else w[:0] for w, a in zip(said, sides[1], strict=True)]
         stride = max(LEAST_STRIDE, int(words.count.max()))
-        return cls(np.array([i for i, _ in items]), terms, block_max.max(axis=1), block_max, blocks, *sides, stride)
+        return cls(np.array([i for i, _ in items]), terms, block_max.max(axis=1), block_max, blocks, *sides, whole, said, stride)
 
     def search(self, words: common.Words, hashes: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(text, first word of the passage, item's place, score) of all items at or above the threshold."""
@@ -161,7 +174,23 @@ def overlap(wanted: np.ndarray, words: np.ndarray) -> float:
     return float(max(both, np.isin(wanted, words).sum())) / len(wanted)
 
 
-def scan(rows: list[bytes], index: Index) -> list[tuple[int, int, float, float, float, int]]:
+def close_overlap(answer: np.ndarray, words: np.ndarray) -> float:
+    """The largest share of an answer's distinct words that stands in one stretch of a passage, LOOSE words longer than the answer."""
+    wanted = np.unique(answer)
+    if not len(wanted) or not len(words):
+        return 0.0
+    long = len(answer) + LOOSE
+    found = np.zeros(len(words) + long, np.int64)  # by last word of a stretch
+    for word in wanted:
+        edge = np.zeros(len(found) + 1, np.int64)
+        at = np.flatnonzero(words == word)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + long, -1)
+        found += np.cumsum(edge)[: len(found)] > 0
+    return float(found.max()) / len(wanted)
+
+
+def scan(rows: list[bytes], index: Index, edited: bool = False) -> list[tuple[int, int, float, float, float, int]]:
     """(text, item id, score, question overlap, answer overlap, first word) of each leak; of several passages the best."""
     words, hashes = word_hashes(rows)
     best: dict[tuple[int, int], tuple] = {}
@@ -169,7 +198,9 @@ def scan(rows: list[bytes], index: Index) -> list[tuple[int, int, float, float,
         begin = int(words.first[text]) + start
         passage = hashes[begin : min(begin + 2 * index.stride, int(words.first[text + 1]))]
         q, a = overlap(index.question[item], passage), overlap(index.answer[item], passage)
-        if q >= OVERLAP and a >= OVERLAP:
+        if edited and q >= OVERLAP > a:
+            a = max(a, close_overlap(index.answer_words[item], passage))
+        if (q >= OVERLAP and a >= OVERLAP) or (edited and overlap(index.whole[item], passage) >= WHOLE):
             key = (text, int(index.ids[item]))
             best[key] = max(best.get(key, (0.0, 0.0, 0.0, 0)), (score, q, a, -start))
     return [(t, i, score, q, a, -start) for (t, i), (score, q, a, start) in sorted(best.items())]
@@ -177,8 +208,9 @@ def scan(rows: list[bytes], index: Index) -> list[tuple[int, int, float, float,
 
 def shards(items: DataFrame) -> Iterator[Index]:
     """Indexes of all items with words; words are counted over all of them first."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    items = common.store(items.filter("item_id is not null"), "items")
+    text = F.coalesce("text", F.lit(""))
+    items = items.select(F.coalesce(F.col("item_id").cast("long"), F.xxhash64(text)).alias("item_id"), text.alias("text"))
+    items = common.store(items, "items")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches):
@@ -212,7 +244,7 @@ def shards(items: DataFrame) -> Iterator[Index]:
 SCHEMA = "doc_id long, text_key long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, edited: bool = False) -> DataFrame:
     """One row per document row and benchmark item found in it."""
     rows = common.texts(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     out = docs.sparkSession.createDataFrame([], SCHEMA)
@@ -220,7 +252,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for part in common.slices(batches):
-                found = scan(common.raw_bytes(part.column("text")), index)
+                found = scan(common.raw_bytes(part.column("text")), index, edited)
                 columns = list(zip(*found, strict=True)) or [[]] * 6
                 text = pa.array(columns[0], pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -234,9 +266,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def drop_leaks(docs: DataFrame, items: DataFrame, edited: bool = False) -> DataFrame:
     """The rows of documents without a leak, with all their columns."""
-    found = leaks(docs, items).select(F.col("doc_id").cast("long").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    found = leaks(docs, items, edited).select(F.col("doc_id").cast("long").alias("_id"), F.col("text_key").alias("_key")).distinct()
     found = common.store(found, "leaks")
     found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
     same = docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["_key"])
@@ -244,4 +276,4 @@ def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op9_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks(common.read(spark, folder, "documents"), common.read(spark, folder, "benchmark")).drop("text_key")
+    return leaks(common.read(spark, folder, "documents"), common.read(spark, folder, "benchmark"), edited=True).drop("text_key")

@@ -104,3 +104,32 @@ def test_empty_tables(spark, make_docs):
     one = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     assert dc.leaks(make_docs([]), one).count() == 0
     assert np.array_equal(dc.grams(np.array([3, 3, 1], np.uint64)[:2]), np.array([3], np.uint64))
+
+
+def test_edited_answers_and_items_without_id(spark, make_docs):
+    """One and two changed words in answers of each length; items without id."""
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(900)]
+    text = lambda n: " ".join(rng.sample(vocabulary, n))
+    items, rows, expected = [], [], set()
+    for n in range(1, 21):
+        question, answer = text(20), text(n).split()
+        items.append((n, f"{question}\n{' '.join(answer)}"))
+        edits = [(i,) for i in range(n)] + [(i, k) for i in range(n) for k in range(i)][:40]
+        for edit in edits:
+            changed = " ".join("zzz" if i in edit else w for i, w in enumerate(answer))
+            expected.add((len(rows), n))
+            rows.append((len(rows), f"{text(30)} {question} {changed} {text(30)}"))
+    items += [(None, text(15)), (None, text(18)), (50, text(30) + "\n" + text(20))]
+    expected |= {(len(rows), "hash 0"), (len(rows) + 1, "hash 1")}
+    rows += [(len(rows), f"{text(9)} {items[20][1]}"), (len(rows) + 1, items[21][1])]
+    # half of a question and an answer whose words are far apart are no leak
+    far = " ".join(f"{w} {text(5)}" for w in items[7][1].split("\n")[1].split())
+    rows += [(len(rows), f"{' '.join(items[7][1].split()[:12])} {far}"), (len(rows) + 1, text(400))]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    keys = {r.h: f"hash {r.k}" for r in spark.createDataFrame([(i, t) for i, (_, t) in enumerate(items[20:22])], "k int, t string").selectExpr("k", "xxhash64(t) AS h").collect()}
+    found = {(r.doc_id, keys.get(r.item_id, r.item_id)) for r in dc.leaks(make_docs(rows), table, edited=True).collect()}
+    assert found == expected
+    assert dc.drop_leaks(make_docs(rows), table, edited=True).count() == 2
+    plain = {(r.doc_id, keys.get(r.item_id, r.item_id)) for r in dc.leaks(make_docs(rows), table).collect()}
+    assert plain < expected
