@@ -376,7 +376,8 @@ def issue_evidence(incidents: DataFrame, events: DataFrame, work_orders: DataFra
     entries = validators.entered_events(events)
     repeated = entries.groupBy("incident_id", "stage").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     completions = events.where(F.col("event_type") == vocab.INCIDENT_RESTORED)
-    entered = entries.select("incident_id").distinct()
+    # an entry of a stage outside the vocabulary counts here, as in state_issues
+    entered = events.where(F.col("event_type") == vocab.ENTERED).select("incident_id").distinct()
     active = incidents.where(is_active()).select("incident_id")
     contradicted = completions.join(active, "incident_id", "left_semi").join(entered, "incident_id", "left_semi")
 

@@ -646,6 +646,25 @@ def numbered(parts: list[str]) -> str:
 
 
 CTES["c_all_issues"] = numbered(ISSUE_SETS)
+
+
+def behind(source: str, where: str, kind: str, record: str, stage="NULL") -> str:
+    return (f"SELECT CAST(incident_id AS VARCHAR) AS incident_id, '{kind}' AS issue_type, CAST({stage} AS VARCHAR) AS stage, "
+            f"CAST({record} AS VARCHAR) AS record_id FROM {source} WHERE {where}")
+
+
+CTES["c_issue_evidence"] = union(
+    behind("c_entered", "(incident_id, stage) IN (SELECT (incident_id, stage) FROM c_entered GROUP BY incident_id, stage "
+           "HAVING count(*) > 1)", "workflow_ontology_duplicate_stage_entry", "event_id", "stage"),
+    behind("c_terminal", "current_status <> 'RESTORED' AND len(coalesce(ids, [])) > 0",
+           "workflow_ontology_invalid_restored_state", "unnest(ids)"),
+    behind("c_seen", "latest_entered IS NOT NULL AND current_status <> 'RESTORED' AND restore_count > 0",
+           _state + "active_with_completion_event", "unnest(restore_ids)"),
+    behind("c_events e JOIN c_incidents i USING (incident_id)", "e.occurred_at < i.reported_at",
+           "event_sequence_before_request", "event_id"),
+    behind("c_work_orders", "work_order_status = 'WAITING_SPARE_VENDOR' AND coalesce(required_spare_id, '') = ''",
+           "spare_waiting_missing_required_spare", "work_order_id"),
+)
 CTES["c_numbered_impact"] = numbered(["impact_issues"])
 CTES["c_impact_counts"] = (
     "SELECT incident_id, count(*) AS impact_trust_issue_count FROM c_v_impact_issues GROUP BY incident_id")
@@ -1180,6 +1199,7 @@ FINAL: dict[str, str] = {
     **{f"check_{name.removeprefix('c_v_')}": f"SELECT {ISSUE_COLUMNS} FROM {name}" for name in list(CTES)
        if name.startswith("c_v_")},
     "check_all_issues": "SELECT * FROM c_all_issues",
+    "issue_evidence": "SELECT * FROM c_issue_evidence",
     "quality_flags": "SELECT DISTINCT i.incident_id, 1 AS flag_source, check_result_id AS sort_key, target_table || '.' || "
     "check_name || ': ' || message AS flag FROM (SELECT *, unnest(sample_failed_keys) AS key FROM c_core_checks WHERE status "
     "<> 'PASS') k JOIN c_incidents i ON contains(k.key, i.incident_id) UNION ALL SELECT incident_id, 2, severity || ' ' || "

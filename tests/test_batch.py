@@ -1,6 +1,7 @@
 """End-to-end goldens of the hand-made incidents."""
 
 import json
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -159,3 +160,16 @@ def test_as_of_is_read_from_workflow_events(spark, core):
     from faultline.operators.workflow import default_as_of
 
     assert spark.range(1).select(default_as_of(core["events"]).alias("t")).first().t == datetime(2030, 3, 5, 3)
+
+
+def test_issue_evidence_is_written_whole(batch):
+    """Each issue that names a count has so many rows in the long table of the same run."""
+    found = Counter((r.incident_id, r.issue_type, r.stage) for r in batch[1].run_parts("ops/issue_evidence").collect())
+    expected = {}
+    for r in batch[1].run_parts("ops/issues").collect():
+        evidence = json.loads(r.evidence_json)
+        count = evidence.get("event_count", evidence.get("work_order_count"))
+        if count is not None:
+            stage = evidence["stage"] if r.issue_type.endswith("duplicate_stage_entry") else None
+            expected[r.incident_id, r.issue_type, stage] = count
+    assert found == expected and found

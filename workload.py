@@ -523,6 +523,12 @@ def _register_validators() -> None:
 _register_validators()
 
 
+@query
+def issue_evidence(m: Model) -> DataFrame:
+    """All records behind the issues of check_all_issues that name a count."""
+    return reconcile.issue_evidence(m.incidents, m.events, m.work_orders)
+
+
 @query
 def quality_flags(m: Model) -> DataFrame:
     checks = quality.check_results(quality.core_failures(m.core), RUN, quality.RAW_CHECK_COUNT + 1)
