@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from faultline.llm import quality_rules
+from faultline.llm import hard_negatives, quality_rules
 from faultline.llm.bit_planes import op1_bit_planes
 from faultline.llm.chat_format import op3_typed_parts
 from faultline.llm.decontaminate import op9_benchmark_leaks
+from faultline.llm.importance import op12_target_resampling
 from faultline.llm.license_scan import op10_license_scan
 from faultline.llm.near_dup import op4_superminhash
 from faultline.llm.personal_data import op7_revealing_terms
@@ -29,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_field": op8_secret_field,
     "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_license_scan": op10_license_scan,
+    "op12_target_resampling": op12_target_resampling,
+    "op13_anchor_trees": hard_negatives.op13_anchor_trees,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op2_quality_ratio": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {"op2_quality_ratio": quality_rules.ORACLE, "op13_anchor_trees": hard_negatives.ORACLE}
