@@ -102,6 +102,14 @@ class Words:
         self.text = np.repeat(np.arange(self.texts), self.count)
         self.data = data
 
+    def distinct(self) -> tuple[list[bytes], np.ndarray]:
+        """(the distinct words, which of them each word is): exact, without a Python object for each word."""
+        gap = (self.data == 32) | ((self.data >= 9) & (self.data <= 13))
+        offsets = np.concatenate([[0], np.cumsum(self.end - self.start)]).astype(np.int64)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(self.data[~gap])]
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), buffers).dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
     def hashes(self) -> np.ndarray:
         power, inverse = self.powers(len(self.data))
         with np.errstate(over="ignore"):

@@ -18,6 +18,7 @@ from faultline.llm.personal_data import op7_revealing_terms
 from faultline.llm.pieces import op5_unigram_pieces
 from faultline.llm.quality_model import op6_ftrl_quality
 from faultline.llm.secrets import op8_secret_field
+from faultline.llm.token_counts import op11_prefix_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bit_planes": op1_bit_planes,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_field": op8_secret_field,
     "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_license_scan": op10_license_scan,
+    "op11_prefix_counts": op11_prefix_counts,
     "op12_target_resampling": op12_target_resampling,
     "op13_anchor_trees": hard_negatives.op13_anchor_trees,
     "pipeline": corpus_pipeline.run,
