@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.operators import reach
 from faultline.operators.workflow import latest_snapshots
-from faultline.session import checkpoint
 
 # --- fixed values: namespaces ---
 RUNTIME = "https://example.local/ai-data-center-infrastructure#"
@@ -15,8 +15,6 @@ RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF_TYPE = RDF + "type"
 
-CHECKPOINT_ROUNDS = 4
-
 
 def iri(value: str | Column) -> Column:
     """Mint an IRI: trim, then replace every character that is not a letter, digit, _ or - by -."""
@@ -38,34 +36,24 @@ def downstream_assets(dependencies: DataFrame, origins: DataFrame | None = None)
     """(origin, asset) for every asset that depends on the origin, directly or not; the origin itself is left out.
 
     ``origins`` (one ``origin`` column) may be one asset or many; by default every asset something depends on. The
-    frontier moves one edge per round and drops pairs already seen, so cycles end. Lineage is cut every few rounds.
+    pairs come from doubling (see ``reach``), cycles collapsed for the whole graph.
     """
-    edges = dependencies.select(
-        F.col("dependency_asset_id").alias("up"), F.col("dependent_asset_id").alias("asset")
-    ).where("up <> asset").distinct()
-    if origins is None:
-        origins = edges.select(F.col("up").alias("origin")).distinct()
-    frontier = origins.distinct().join(edges, F.col("origin") == F.col("up")).select("origin", "asset")
-    frontier = checkpoint(frontier.distinct())
-    seen = [frontier]
-    while frontier.head(1):
-        step = (
-            frontier.withColumnRenamed("asset", "up").join(edges, "up").select("origin", "asset")
-            .where("origin <> asset").distinct()
-        )
-        for layer in seen:
-            step = step.join(layer, ["origin", "asset"], "left_anti")
-        frontier = checkpoint(step)
-        seen.append(frontier)
-        if len(seen) > CHECKPOINT_ROUNDS:
-            merged = seen[0]
-            for layer in seen[1:]:
-                merged = merged.unionByName(layer)
-            seen = [checkpoint(merged)]
-    result = seen[0]
-    for layer in seen[1:]:
-        result = result.unionByName(layer)
-    return result
+    edges = downstream_edges(dependencies)
+    return reach.closure(edges).node_pairs() if origins is None else reach.reached_from(edges, origins)
+
+
+def downstream_edges(dependencies: DataFrame) -> DataFrame:
+    """(up, down): from an asset to one that depends on it."""
+    return dependencies.select(F.col("dependency_asset_id").alias("up"), F.col("dependent_asset_id").alias("down"))
+
+
+def blast_radius_counts(dependencies: DataFrame, incidents: DataFrame) -> DataFrame:
+    """For every asset that something depends on: how many assets are downstream, and how many incidents they and it have.
+
+    Incidents are counted per asset and assets per component before any pair is made."""
+    per_asset = incidents.groupBy(F.col("asset_id").alias("node")).agg(F.count(F.lit(1)).alias("weight"))
+    found = reach.closure(downstream_edges(dependencies)).sums({"affected_incidents": per_asset})
+    return found.withColumnRenamed("nodes", "downstream_assets")
 
 
 def affected_incidents(incidents: DataFrame, reach: DataFrame, origins: DataFrame) -> DataFrame:

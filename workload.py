@@ -563,15 +563,7 @@ def blast_radius_incidents(m: Model) -> DataFrame:
 
 @query
 def blast_radius_counts(m: Model) -> DataFrame:
-    """Affected incidents per asset, over every asset: counts per asset are joined, not the incidents themselves."""
-    per_asset = m.incidents.groupBy(F.col("asset_id").alias("asset")).agg(F.count(F.lit(1)).alias("n"))
-    reach = graph.downstream_assets(m.dependencies)
-    covered = reach.unionByName(
-        reach.select("origin").distinct().select("origin", F.col("origin").alias("asset"))
-    )
-    return covered.join(per_asset, "asset", "left").groupBy("origin").agg(
-        (F.count(F.lit(1)) - 1).alias("downstream_assets"), F.coalesce(F.sum("n"), F.lit(0)).alias("affected_incidents")
-    )
+    return graph.blast_radius_counts(m.dependencies, m.incidents)
 
 
 @query
