@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.operators import reach
 from faultline.operators.workflow import latest_snapshots
+from faultline.session import checkpoint
 
 # --- fixed values: namespaces ---
 RUNTIME = "https://example.local/ai-data-center-infrastructure#"
@@ -15,6 +18,8 @@ RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF_TYPE = RDF + "type"
 
+MAX_PATH_EDGES = 32
+
 
 def iri(value: str | Column) -> Column:
     """Mint an IRI: trim, then replace every character that is not a letter, digit, _ or - by -."""
@@ -124,6 +129,67 @@ def named_paths(paths: DataFrame, topology: DataFrame) -> DataFrame:
     )
 
 
+def enumerated_paths(
+    dependencies: DataFrame, incidents_per_asset: DataFrame, max_edges: int = MAX_PATH_EDGES
+) -> DataFrame:
+    """Every path from an asset that nothing depends on, along what each asset depends on, to its end.
+
+    A path ends at an asset that depends on nothing (``root``), before an asset it already holds (``cycle``; the closing
+    edge is its last), or at ``max_edges`` edges with more to come (``limit``). Paths over parallel edges are paths of
+    their own; an edge from an asset to itself is none. ``incidents_per_asset`` (asset, n) is added up along the way, so no
+    path is taken apart again. Each round extends all open paths by one edge and writes them; ended ones leave the loop.
+    """
+    counts = incidents_per_asset.select(F.col("asset").alias("_asset"), F.col("n").alias("_n"))
+    edges = dependencies.where("dependent_asset_id <> dependency_asset_id").select(
+        F.col("dependent_asset_id").alias("from"), F.col("dependency_asset_id").alias("to"), "dependency_id"
+    )
+    edges = checkpoint(edges.join(counts, F.col("to") == F.col("_asset"), "left").select(
+        "from", "to", "dependency_id", F.coalesce("_n", F.lit(0)).cast("bigint").alias("n")
+    ))
+    starts = edges.select("from").distinct().join(edges.select("to"), F.col("from") == F.col("to"), "left_anti")
+    open_paths = starts.join(counts, F.col("from") == F.col("_asset"), "left").select(
+        F.array("from").alias("nodes"),
+        F.array().cast("array<string>").alias("dependency_ids"),
+        F.col("from").alias("last"),
+        F.coalesce("_n", F.lit(0)).cast("bigint").alias("active_incident_count"),
+    )
+    ended = []
+    for _ in range(max_edges):
+        stepped = open_paths.join(edges, F.col("last") == F.col("from"), "left")
+        closing = F.array_contains("nodes", F.col("to"))
+        longer = F.when(F.col("to").isNull() | closing, F.col("nodes")).otherwise(F.array_append("nodes", F.col("to")))
+        ids = F.when(F.col("to").isNull(), F.col("dependency_ids")).otherwise(
+            F.array_append("dependency_ids", F.col("dependency_id"))
+        )
+        stepped = checkpoint(
+            stepped.select(
+                longer.alias("nodes"),
+                ids.alias("dependency_ids"),
+                F.col("to").alias("last"),
+                (F.col("active_incident_count") + F.when(closing, 0).otherwise(F.coalesce("n", F.lit(0)))).alias(
+                    "active_incident_count"
+                ),
+                F.when(F.col("to").isNull(), "root").when(closing, "cycle").alias("ended"),
+            )
+        )
+        ended.append(stepped.where("ended IS NOT NULL"))
+        open_paths = stepped.where("ended IS NULL").drop("ended")
+        if not open_paths.head(1):
+            break
+    onward = edges.select(F.col("from").alias("last")).distinct().withColumn("_more", F.lit(True))
+    rest = open_paths.join(onward, "last", "left")
+    ended.append(rest.withColumn("ended", F.when(F.col("_more"), "limit").otherwise("root")).drop("_more"))
+    return reduce(lambda a, b: a.unionByName(b), ended).select(
+        F.element_at("nodes", 1).alias("start_asset_id"),
+        F.element_at("nodes", -1).alias("end_asset_id"),
+        "nodes",
+        "dependency_ids",
+        F.size("dependency_ids").alias("length"),
+        "ended",
+        "active_incident_count",
+    )
+
+
 # --- triples ------------------------------------------------------------------------------------------
 
 

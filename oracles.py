@@ -816,6 +816,28 @@ CTES["c_reach"] = (
     "SELECT DISTINCT origin, asset FROM (WITH RECURSIVE r(origin, asset) AS (SELECT up, asset FROM c_links UNION SELECT "
     "r.origin, l.asset FROM r JOIN c_links l ON l.up = r.asset) SELECT * FROM r) t WHERE origin <> asset")
 
+
+
+def _enumerated(edges: str, most: int) -> str:
+    """Paths from assets nothing depends on; a closing edge is listed, the asset it would repeat is not."""
+    return (
+        f"SELECT nodes[1] AS start_asset_id, nodes[-1] AS end_asset_id, nodes, ids AS dependency_ids, CAST(len(ids) AS INTEGER) AS "
+        f"length, CASE WHEN closed THEN 'cycle' WHEN last IN (SELECT f FROM ({edges}) x) THEN 'limit' ELSE 'root' END AS "
+        "ended, (SELECT CAST(coalesce(sum(a.n), 0) AS BIGINT) FROM c_active a WHERE list_contains(p.nodes, a.asset_id)) AS "
+        "active_incident_count FROM (WITH RECURSIVE r(nodes, ids, last, closed) AS (SELECT [f], CAST([] AS VARCHAR[]), f, "
+        f"false FROM (SELECT DISTINCT f FROM ({edges}) e WHERE f NOT IN (SELECT t FROM ({edges}) g)) s UNION ALL SELECT CASE "
+        "WHEN list_contains(r.nodes, e.t) THEN r.nodes ELSE list_append(r.nodes, e.t) END, list_append(r.ids, e.id), e.t, "
+        f"list_contains(r.nodes, e.t) FROM r JOIN ({edges}) e ON e.f = r.last WHERE NOT r.closed AND len(r.ids) < {most}) "
+        f"SELECT * FROM r) p WHERE closed OR len(ids) = {most} OR last NOT IN (SELECT f FROM ({edges}) y)"
+    )
+
+
+_path_edges = (
+    "SELECT dependent_asset_id AS f, {} AS t, dependency_id AS id FROM c_dependencies WHERE dependent_asset_id <> {}")
+_ring = "CASE WHEN dependent_asset_id = dependency_asset_id THEN 'ASSET-3' ELSE dependency_asset_id END"
+CTES["c_edges_up"] = _path_edges.format("dependency_asset_id", "dependency_asset_id")
+CTES["c_edges_ring"] = _path_edges.format(_ring, _ring)
+
 from faultline.operators import findings as fnd  # noqa: E402
 from faultline.operators import graph as grf  # noqa: E402
 from faultline.operators import shapes as shp  # noqa: E402
@@ -1224,6 +1246,8 @@ FINAL: dict[str, str] = {
     "path_id, s_name AS label, step, 'DEP-' || CAST(floor(s_suppkey / pow(2, step)) AS BIGINT) AS dependency_id FROM "
     "supplier, LATERAL (SELECT unnest(range(CAST(floor(log2(greatest(s_suppkey, 1))) AS BIGINT) + 1)) AS step) x) p JOIN "
     "c_edges_named USING (dependency_id) GROUP BY 1, 2",
+    "enumerated_paths": _enumerated("SELECT * FROM c_edges_up", 32),
+    "enumerated_paths_short": _enumerated("SELECT * FROM c_edges_ring", 5),
     "incident_evidence": "SELECT i.incident_id, request_title, i.asset_id, current_stage AS workflow_stage, current_status, "
     "priority_level, issue_id AS trust_issue_id FROM c_incidents i LEFT JOIN c_numbered_impact USING (incident_id)",
     "core_triples": "SELECT * FROM c_core_triples UNION ALL SELECT * FROM c_trust_triples",

@@ -91,3 +91,40 @@ def test_a_hub_is_not_squared(spark):
     assert not reach._doublings(frame(spark, edges), len(edges))
     found = reach.closure(frame(spark, edges))
     assert found.pairs.count() == 60 * 60 + 120 and pairs(found.node_pairs()) == walk(edges)
+
+
+def all_paths(edges, most):
+    edges = [e for e in edges if e[0] != e[1]]
+    ahead = {}
+    for k, (a, b) in enumerate(edges):
+        ahead.setdefault(a, []).append((b, f"D{k}"))
+    out, todo = [], [([a], []) for a in sorted({a for a, _ in edges} - {b for _, b in edges})]
+    while todo:
+        nodes, ids = todo.pop()
+        nexts = ahead.get(nodes[-1], [])
+        if not nexts:
+            out.append((nodes, ids, "root"))
+        elif len(ids) == most:
+            out.append((nodes, ids, "limit"))
+        else:
+            for b, k in nexts:
+                if b in nodes:
+                    out.append((nodes, [*ids, k], "cycle"))
+                else:
+                    todo.append(([*nodes, b], [*ids, k]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most", [3, 32])
+def test_paths(spark, most):
+    from faultline.operators import graph
+
+    edges = [("a", "b"), ("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("c", "e"), ("x", "c"), ("e", "e"), ("r", "s"), ("s", "r"), ("e", "f"), ("f", "g")]
+    rows = [(f"D{k}", a, b) for k, (a, b) in enumerate(e for e in edges if e[0] != e[1])] + [("loop", "e", "e")]
+    df = spark.createDataFrame(rows, "dependency_id string, dependent_asset_id string, dependency_asset_id string")
+    counts = spark.createDataFrame([("a", 5), ("c", 2), ("g", 1)], "asset string, n long")
+    found = graph.enumerated_paths(df, counts, max_edges=most).collect()
+    assert sorted((r.nodes, r.dependency_ids, r.ended) for r in found) == all_paths(edges, most)
+    weight = {"a": 5, "c": 2, "g": 1}
+    assert all(r.active_incident_count == sum(weight.get(n, 0) for n in r.nodes) and r.length == len(r.dependency_ids) for r in found)
+    assert graph.enumerated_paths(df.limit(0), counts).count() == 0

@@ -586,6 +586,26 @@ def named_paths(m: Model) -> DataFrame:
     return graph.named_paths(paths, views.topology(m.dependencies, m.assets, m.incidents))
 
 
+def _active_per_asset(m: Model) -> DataFrame:
+    active = m.incidents.where("current_status <> 'RESTORED'")
+    return active.groupBy(F.col("asset_id").alias("asset")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def enumerated_paths(m: Model) -> DataFrame:
+    return graph.enumerated_paths(m.dependencies, _active_per_asset(m))
+
+
+@query
+def enumerated_paths_short(m: Model) -> DataFrame:
+    """With the tree's top closed to a ring and a bound of five edges, so that paths end in all three ways."""
+    ring = m.dependencies.where("dependency_asset_id = dependent_asset_id").withColumn(
+        "dependency_asset_id", F.lit("ASSET-3")
+    )
+    edges = m.dependencies.where("dependency_asset_id <> dependent_asset_id").unionByName(ring)
+    return graph.enumerated_paths(edges, _active_per_asset(m), max_edges=5)
+
+
 @query
 def incident_evidence(m: Model) -> DataFrame:
     return graph.incident_evidence(m.core, reconcile.numbered_issues(m.impact_issues(), RUN))
