@@ -11,9 +11,12 @@ without id come first. An empty table gives an empty one. Other columns are not
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +44,11 @@ def pack(ids: np.ndarray, bits: int, step: int = 1) -> tuple[list[int], bytes]:
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
-    planes = []
-    for b in range(0, bits, step):
-        plane = ids >> np.uint32(b)
-        plane = np.packbits((plane & np.uint32(1)).astype(np.uint8)) if step == 1 else plane.astype(np.uint8)
-        planes.append(squeeze(plane.tobytes()))
+    matrix = ids.astype(f"<u{bits // 8}").view(np.uint8).reshape(len(ids), bits // 8)  # a row per id
+    if step == 1:
+        matrix = np.unpackbits(matrix, axis=1, bitorder="little")
+    matrix = np.ascontiguousarray(matrix.T)  # a row per plane
+    planes = [squeeze(p.tobytes()) for p in (np.packbits(matrix, axis=1) if step == 1 else matrix)]
     return [len(p) for p in planes], b"".join(planes)
 
 
@@ -54,20 +57,21 @@ def unpack(lengths: list[int], payload: bytes, n_ids: int, bits: int) -> tuple[n
     import zstandard
 
     expand = zstandard.ZstdDecompressor().decompress
-    ids, at, step = np.zeros(n_ids, np.uint32), 0, bits // len(lengths)
-    for k, length in enumerate(lengths):
-        plane = np.frombuffer(expand(payload[at : at + length]), np.uint8)
-        at += length
-        values = np.unpackbits(plane, count=n_ids) if step == 1 else plane
-        ids |= values.astype(np.uint32) << np.uint32(k * step)
-    return ids, step
+    ends, step = np.cumsum(lengths).tolist(), bits // len(lengths)
+    planes = np.stack([np.frombuffer(expand(payload[e - n : e]), np.uint8) for e, n in zip(ends, lengths, strict=True)])
+    if step == 1:
+        planes = np.unpackbits(planes, axis=1, count=n_ids)
+    rows = np.ascontiguousarray(planes.T)
+    if step == 1:
+        rows = np.packbits(rows, axis=1, bitorder="little")
+    return rows.view(f"<u{bits // 8}").ravel().astype(np.uint32), step
 
 
 class WordIds:
-    """Ids of whole texts by the ids of their words between white space.
+    """Ids of whole texts.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its words one after another;
-    each distinct word is encoded once.
+    Where the tokenizer drops white space and never joins what it separates, a text's ids are those of its words one after
+    another, and each distinct word is encoded once. Other tokenizers encode the texts themselves.
     """
 
     def __init__(self, path: str):
@@ -76,39 +80,81 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bits = 16 if self.tokenizer.get_vocab_size() <= 1 << 16 else 32
+        plan = json.loads(self.tokenizer.to_str())
+        normal = [x["type"] for x in (plan["normalizer"] or {}).get("normalizers", [])]
+        split = ((plan["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        added = any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in plan["added_tokens"])
+        self.by_word = (
+            split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"]
+            and not re.search(r"\\s(?![^\[]*\])", split["pattern"].get("Regex", r"\s"))  # white space is only ruled out
+            and normal == ["NFC", "Replace", "Lowercase"] and not added
+        )
+        self.plain = self.by_word and split["pattern"].get("Regex") == common.CUT
+        self.model = Tokenizer(self.tokenizer.model)  # without normalising and cutting
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.begin = np.zeros(1, np.int64)
+        self.memory = common.Memory()
+        self.ids, self.begin, self.seen = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def thin_out(self) -> None:
+        """Keep the words that were seen again; if these are too many as well, start anew."""
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) > REMEMBERED // 2:
+            return self.forget()
+        self.memory.keep(keep)
+        size = self.begin[keep + 1] - self.begin[keep]
+        self.ids = self.ids[ragged(self.begin[keep], size)]
+        self.begin, self.seen = np.concatenate([[0], np.cumsum(size)]), np.ones(len(keep), np.int64)
+
+    def found(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each) as the library has them."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each) of words. Plain ones are cut here as the tokenizer cuts them, and its model gets all their
+        parts in one call; the others take the way of whole texts."""
+        is_plain = np.array([self.plain and common.PLAIN_WORD.fullmatch(w.decode()) is not None for w in words], bool)
+        sizes = np.zeros(len(words), np.int64)
+        plain, other = list(compress(words, is_plain)), list(compress(words, ~is_plain))
+        ids = np.zeros(0, np.uint32)
+        if plain:
+            cut = common.PARTS.findall(b" ".join(plain).decode().lower())
+            gap = np.fromiter((p == " " for p in cut), bool, len(cut))
+            parts = common.as_bytes("\n".join(cut)).split(common.as_bytes("\n"))
+            encoding = self.model.encode(list(compress(parts, ~gap)), is_pretokenized=True, add_special_tokens=False)
+            word = np.cumsum(gap)[~gap][np.array(encoding.word_ids, np.int64)]
+            ids, sizes[is_plain] = np.array(encoding.ids, np.uint32), np.bincount(word, minlength=len(plain))
+        if other:
+            more, sizes[~is_plain] = self.found(other)
+            ids = np.append(ids, more)
+        place = np.concatenate([np.flatnonzero(is_plain), np.flatnonzero(~is_plain)])  # of each run of ids
+        begin = np.zeros(len(words), np.int64)
+        begin[place] = np.cumsum(sizes[place]) - sizes[place]
+        return ids[ragged(begin, sizes)], sizes
 
     def encode(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes), the end id behind each text."""
-        if len(self.number) > REMEMBERED or not self.number:
-            self.forget()
-            self.number[b""] = 0  # the end id is kept as the ids of an empty word
-            self.ids, self.begin = np.array([END_ID], np.uint32), np.array([0, 1])
-        number, codes, counts, new = self.number, [], [], []
-        for raw in rows:
-            words = raw.split()
-            for w in words:
-                at = number.get(w)
-                if at is None:
-                    at = number[w] = len(number)
-                    new.append(w)
-                codes.append(at)
-            codes.append(0)
-            counts.append(len(words) + 1)
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            ends = np.cumsum([len(x) for x in found]) + len(self.ids)
-            self.begin = np.append(self.begin, ends)
-            self.ids = np.append(self.ids, np.array([i for x in found for i in x], np.uint32))
-        code = np.array(codes, np.int64)
-        begin, size = self.begin[code], self.begin[code + 1] - self.begin[code]
+        if not self.by_word:
+            ids, sizes = self.found(rows)
+            return np.insert(ids, np.cumsum(sizes), END_ID), sizes + 1
+        if len(self.memory) > REMEMBERED:
+            self.thin_out()
+        words = common.Words(rows)
+        hashes, first, code = words.distinct()
+        known = self.memory.find(words, hashes, first)
+        new = np.flatnonzero(known < 0)
+        ids, sizes = self.of_words([words.word(k) for k in first[new].tolist()])
+        known[new] = self.memory.add(words, hashes[new], first[new])
+        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(sizes))
+        self.ids, self.seen = np.append(self.ids, ids), np.append(self.seen, np.zeros(len(new), np.int64))
+        self.seen[known] += np.bincount(code, minlength=len(first))
+        code = known[code]
+        size = self.begin[code + 1] - self.begin[code]
         sums = np.concatenate([[0], np.cumsum(size)])
-        return self.ids[ragged(begin, size)], np.diff(sums[np.cumsum([0, *counts])])
+        ends = sums[words.first[1:]]  # behind each text's ids
+        return np.insert(self.ids[ragged(self.begin[code], size)], ends, END_ID), np.diff(ends, prepend=0) + 1
 
 
 _encoders: dict[str, WordIds] = {}

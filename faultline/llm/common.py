@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,30 @@ SLICE_BYTES = 1 << 20
 #: ASCII white space: the gaps between words of `[^\x20\x09-\x0D]+`, which is also what bytes.split() cuts at.
 GAPS = " \t\n\x0b\x0c\r"
 
+# How the tokenizer of words cuts what lies between white space.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN = r"\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+#: Words in which this only tells letters, single figures and signs apart: printable ASCII without apostrophes and "<", and Latin
+#: letters that are composed and whose lower case is one letter.
+PLAIN_WORD = re.compile(rf"[!-&(-;=-~{_LATIN}]+")
+#: The parts of plain words in lower case, with spaces between the words.
+PARTS = re.compile(rf"[a-z{_LATIN}]+|[0-9]| |[^a-z0-9 {_LATIN}]+")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a vocabulary: printable ones for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
+LETTERS = str.maketrans(dict(enumerate(byte_letters())))
+
+
+def as_bytes(text: str) -> str:
+    """A text with a vocabulary's letter for each of its UTF-8 bytes."""
+    return text.encode().decode("latin-1").translate(LETTERS)
+
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
@@ -102,13 +127,22 @@ class Words:
         self.text = np.repeat(np.arange(self.texts), self.count)
         self.data = data
 
-    def distinct(self) -> tuple[list[bytes], np.ndarray]:
-        """(the distinct words, which of them each word is): exact, without a Python object for each word."""
-        gap = (self.data == 32) | ((self.data >= 9) & (self.data <= 13))
-        offsets = np.concatenate([[0], np.cumsum(self.end - self.start)]).astype(np.int64)
-        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(self.data[~gap])]
-        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), buffers).dictionary_encode()
-        return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash of each distinct word, a place of it, which of them each word is).
+
+        Words are told apart by their hashes; then all their bytes are held against those of the word that stands for them."""
+        size = self.end - self.start
+        all_hashes = self.hashes()
+        hashes, first, code = np.unique(all_hashes, return_index=True, return_inverse=True)
+        same = same_bytes(self.data, self.start, size, self.data, self.start[first[code]], size[first[code]])
+        if not same.all():  # words of one hash: those that differ from its first word stand for themselves
+            odd = np.flatnonzero(~same)
+            code[odd] = len(first) + np.arange(len(odd))
+            hashes, first = np.append(hashes, all_hashes[odd]), np.append(first, odd)
+        return hashes, first, code
+
+    def word(self, k: int) -> bytes:
+        return self.data[self.start[k] : self.end[k]].tobytes()
 
     def hashes(self) -> np.ndarray:
         power, inverse = self.powers(len(self.data))
@@ -134,6 +168,69 @@ class Words:
         return cls._powers[0][:n], cls._powers[1][:n]
 
 
+def same_bytes(
+    data: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, there: np.ndarray, other_size: np.ndarray
+) -> np.ndarray:
+    """Whether each run of bytes equals its counterpart."""
+    same = size == other_size
+    n = np.where(same, size, 0)
+    ends = np.cumsum(n)
+    letter = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
+    unequal = np.flatnonzero(data[letter + np.repeat(start, n)] != other[letter + np.repeat(there, n)])
+    same[np.searchsorted(ends, unequal, "right")] = False
+    return same
+
+
+class Memory:
+    """Numbers of words that a worker has seen, found by their hashes and proved by their bytes."""
+
+    def __init__(self) -> None:
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.data, self.begin = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.begin) - 1
+
+    def find(self, words: Words, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The number of each of the words at these places, -1 for words not seen."""
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        out = np.full(len(at), -1, np.int64)
+        if not len(self.hashes):
+            return out
+        hit = np.flatnonzero(self.hashes[place] == hashes)
+        number = self.numbers[place[hit]]
+        start, size = words.start[at[hit]], words.end[at[hit]] - words.start[at[hit]]
+        begin = self.begin[number]
+        same = same_bytes(words.data, start, size, self.data, begin, self.begin[number + 1] - begin)
+        out[hit[same]] = number[same]
+        return out
+
+    def add(self, words: Words, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Number new words from the next free number on. A second word of a hash is numbered but never found again."""
+        numbers = len(self) + np.arange(len(at))
+        size = words.end[at] - words.start[at]
+        ends = np.cumsum(size)
+        letter = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
+        self.data = np.append(self.data, words.data[letter + np.repeat(words.start[at], size)])
+        self.begin = np.append(self.begin, self.begin[-1] + ends)
+        order = np.argsort(hashes, kind="stable")
+        place = np.searchsorted(self.hashes, hashes[order], "right")
+        self.hashes = np.insert(self.hashes, place, hashes[order])
+        self.numbers = np.insert(self.numbers, place, numbers[order])
+        return numbers
+
+    def keep(self, some: np.ndarray) -> None:
+        """Forget all but these numbers, in ascending order; they are numbered anew in that order."""
+        new = np.full(len(self), -1, np.int64)
+        new[some] = np.arange(len(some))
+        stay = new[self.numbers] >= 0
+        self.hashes, self.numbers = self.hashes[stay], new[self.numbers[stay]]
+        size = self.begin[some + 1] - self.begin[some]
+        ends = np.cumsum(size)
+        letter = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
+        self.data, self.begin = self.data[letter + np.repeat(self.begin[some], size)], np.concatenate([[0], ends])
+
+
 def shingles(words: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of each run of `width` words; a text with fewer words, but one at least, is one run by itself."""
     with np.errstate(over="ignore"):

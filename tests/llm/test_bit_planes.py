@@ -51,6 +51,18 @@ def test_planes():
             assert len(lengths) == bits // step and np.array_equal(bp.unpack(lengths, payload, n, bits)[0], ids)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_other_tokenizers(name):
+    import public_tokenizers
+
+    encoder = bp.WordIds(public_tokenizers.path(name))
+    assert encoder.by_word == name.startswith("word")
+    texts = [t or "" for _, t in some_rows()]
+    ids, sizes = encoder.encode([t.encode() for t in texts])
+    want = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, bp.END_ID] for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == list(map(len, want))
+
+
 def test_empty_table_and_forgetting(make_docs, monkeypatch):
     assert bp.read_documents(bp.write_blocks(make_docs([]))).count() == 0
     texts = [(t or "").encode() for t in TEXTS]
