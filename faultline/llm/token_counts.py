@@ -34,18 +34,13 @@ from faultline.llm.pieces import ragged
 LIMIT = 2048
 #: Words whose counts a worker process keeps before it starts anew.
 REMEMBERED = 400_000
+#: Bytes up to which prefixes are kept for other words.
+SHARED = 6
 _NEVER = 1 << 60
 #: The white space of Unicode, as the tokenizers library has it.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def byte_letters() -> list[str]:
-    """The letter of each byte: printable ones stand for themselves, the others follow from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
-
-
 class Merges:
     """Merging of byte pairs with a mark on each word's last symbol, as tables over prefixes."""
 
@@ -62,6 +57,7 @@ class Merges:
         self.final = {t[: -len(mark)]: i for t, i in vocab.items() if t.endswith(mark)}
         self.longest = max(map(len, [*self.inner, *self.final]))
         self.known: dict[tuple[int, int], bool] = {}
+        self.shared: dict[str | None, tuple[int, int, int]] = {}  # what is known of short prefixes
         self.text, self.last, self.count, self.ended = "", [0], [0], [0]
 
     def apart(self, a: int, b: int) -> bool:
@@ -97,20 +93,26 @@ class Merges:
         keep = len(os.path.commonprefix([old, word])) if not word.startswith(old) else len(old)
         last, count, ended = self.last, self.count, self.ended
         del last[keep + 1 :], count[keep + 1 :], ended[keep + 1 :]
-        inner, final, apart, longest = self.inner, self.final, self.apart, self.longest
-        # only one length of the last token fits, so the shortest are tried first
+        inner, final, apart, longest, shared = self.inner, self.final, self.apart, self.longest, self.shared
         for j in range(keep + 1, n + 1):
-            for i in range(j - 1, max(-1, j - longest - 1), -1):
-                token = inner.get(word[i:j])
-                if token is not None and (not i or apart(last[i], token)):
-                    last.append(token)
-                    count.append(count[i] + 1)
-                    break
-            for i in range(j - 1, max(-1, j - longest - 1), -1):
-                token = final.get(word[i:j])
-                if token is not None and (not i or apart(last[i], token)):
-                    ended.append(count[i] + 1)
-                    break
+            start = word[:j] if j <= SHARED else None
+            state = shared.get(start)
+            if state is None:
+                # only one length of the last token fits, so the shortest are tried first
+                for i in range(j - 1, max(-1, j - longest - 1), -1):
+                    token = inner.get(word[i:j])
+                    if token is not None and (not i or apart(last[i], token)):
+                        break
+                for k in range(j - 1, max(-1, j - longest - 1), -1):
+                    ending = final.get(word[k:j])
+                    if ending is not None and (not k or apart(last[k], ending)):
+                        break
+                state = token, count[i] + 1, count[k] + 1
+                if start:
+                    shared[start] = state
+            last.append(state[0])
+            count.append(state[1])
+            ended.append(state[2])
         self.text = word
         return ended[1:]
 
@@ -135,17 +137,28 @@ class PrefixCounts:
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = Merges(model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"])
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", _SPACE))
-        self.simple = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+        self.plain = split["pattern"]["Regex"] == common.CUT
         special = sorted((t["content"] for t in plan["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
-        self.letters = byte_letters()
-        self.table = str.maketrans({b: c for b, c in enumerate(self.letters)})
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.memory = common.Memory()
+        self.deltas, self.begin = np.zeros(0, np.int16), np.zeros(1, np.int64)
+        self.total, self.seen = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.part: dict[str, list[int]] = {}
-        self.deltas, self.begin, self.total = np.zeros(0, np.int16), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.merges.shared.clear()
+
+    def thin_out(self) -> None:
+        """Keep the words that were seen again; if these are too many as well, start anew."""
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) > REMEMBERED // 2:
+            return self.forget()
+        self.memory.keep(keep)
+        size = self.begin[keep + 1] - self.begin[keep]
+        self.deltas = self.deltas[ragged(self.begin[keep], size)]
+        self.begin = np.concatenate([[0], np.cumsum(size)])
+        self.total, self.seen = self.total[keep], np.ones(len(keep), np.int64)
 
     # --- words ---
 
@@ -154,7 +167,7 @@ class PrefixCounts:
         found = self.part.get(part)
         if found is None:
             raw = part.encode()
-            ended = self.merges.prefixes(raw.decode("latin-1").translate(self.table))
+            ended = self.merges.prefixes(common.as_bytes(part))
             if len(raw) != len(part):
                 ends = np.flatnonzero((np.frombuffer(raw + b"a", np.uint8) & 0xC0) != 0x80)[1:] - 1
                 ended = [ended[e] for e in ends.tolist()]
@@ -205,9 +218,9 @@ class PrefixCounts:
         return out
 
     def of_plain(self, text: str) -> list[int]:
-        """Counts at each code point of a lower-case word of ASCII letters, figures and signs other than apostrophes."""
+        """Counts at each code point of a plain word in lower case."""
         counts, base = [], 0
-        for part in self.simple.findall(text):
+        for part in common.PARTS.findall(text):
             counts += [base + c for c in self.of_part(part)]
             base = counts[-1]
         return counts
@@ -229,9 +242,7 @@ class PrefixCounts:
         out, odd = [], []
         for raw in words:
             text = raw.decode()
-            if raw.isascii() and raw.isalpha():
-                out.append(self.of_part(text.lower()))
-            elif raw.isascii() and text.isprintable() and "'" not in text and "<|" not in text:
+            if self.plain and common.PLAIN_WORD.fullmatch(text):
                 out.append(self.of_plain(text.lower()))
             else:
                 odd.append((len(out), text))
@@ -244,29 +255,33 @@ class PrefixCounts:
     def encoded(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[bytes]) -> np.ndarray:
-        """The number of each word, after words that are new have been counted."""
-        if len(self.number) > REMEMBERED:
-            self.forget()
-        new = sorted(w for w in words if w not in self.number)
-        found = self.of_words(new)
-        if new:
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+    def of_texts(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens of each text, code points of each text, the changes of the count at all code points)."""
+        if len(self.memory) > REMEMBERED:
+            self.thin_out()
+        if len(self.part) > REMEMBERED:
+            self.part.clear()
+            self.merges.shared.clear()
+        words = common.Words(rows)
+        hashes, first, code = words.distinct()
+        known = self.memory.find(words, hashes, first)
+        new = np.flatnonzero(known < 0)
+        texts = sorted((words.word(k), i) for i, k in zip(new.tolist(), first[new].tolist(), strict=True))
+        if texts:
+            new = np.array([i for _, i in texts])
+            found = self.of_words([w for w, _ in texts])
+            known[new] = self.memory.add(words, hashes[new], first[new])
             sizes = np.array([len(c) for c in found])
             flat = np.array([x for c in found for x in c], np.int64)
-            first = np.cumsum(sizes) - sizes
+            starts = np.cumsum(sizes) - sizes
             change = np.diff(flat, prepend=0)
-            change[first] = flat[first]
+            change[starts] = flat[starts]
             self.deltas = np.append(self.deltas, change.astype(np.int16))
             self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(sizes))
-            self.total = np.append(self.total, flat[first + sizes - 1])
-        return np.array([self.number[w] for w in words], np.int64)
-
-    def of_texts(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens of each text, code points of each text, the changes of the count at all code points)."""
-        words = common.Words(rows)
-        distinct, code = words.distinct()
-        code = self.learn(distinct)[code]
+            self.total = np.append(self.total, flat[starts + sizes - 1])
+            self.seen = np.append(self.seen, np.zeros(len(new), np.int64))
+        self.seen[known] += np.bincount(code, minlength=len(first))
+        code = known[code]
         letter = np.cumsum((words.data & 0xC0) != 0x80) - 1  # the code point of each byte
         chars = np.diff(np.concatenate([letter[words.begin[:-1]], [letter[-1] + 1]])) - 1 if rows else np.zeros(0, int)
         begin, size = self.begin[code], self.begin[code + 1] - self.begin[code]
