@@ -5,8 +5,9 @@ records a reference for each attachment, and counts the tokens that a placeholde
 
     <|im_start|>role\\n body <|im_end|>\\n
 
-with control strings inside role and body escaped reversibly: a backslash goes between `<` and a following `|`, `\\` or `~`, and a
-line feed in a role becomes `<~`. The loss mask covers the text parts of assistant turns. Output rows are one per turn, so a long
+with control strings inside role and body escaped reversibly: a backslash goes between `<` and a following `|`, `\\` or `~`, also
+where these stand in two text parts, and a line feed in a role becomes `<~`. The loss mask covers the text parts of assistant turns,
+with adjoining parts as one span. Output rows are one per turn, so a long
 conversation is spread over tasks; only digests, which are sequential, stream a conversation through one task in order.
 
 Defined results: a null text is an empty text part, a null role an empty role; a null conversation id is a conversation of its
@@ -40,6 +41,7 @@ TURN = (
 #: The control strings of conversation -1.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 _TAKE = re.compile(r"<(?=[|\\~])")
+_AFTER = ("|", "\\", "~")
 _GIVE = re.compile(r"<([\\~])")
 _PLACEHOLDER = re.compile(r"<\|(?:image|audio|document) [0-9]+\|>")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
@@ -74,8 +76,13 @@ class Flattener:
     def visit_text(self, part: dict) -> None:
         text = part.get("text") or ""
         start = self.at
-        self.put(escape(text))
-        if self.at > start:
+        if self.out and self.out[-1].endswith("<") and text[:1] in _AFTER:
+            self.put("\\")  # the control string would come together from two parts
+        if text:
+            self.put(escape(text))
+        if self.at > start and self.texts and self.texts[-1]["end"] == start:
+            self.texts[-1]["end"] = self.at
+        elif self.at > start:
             self.texts.append({"start": start, "end": self.at})
         self.words += len(text.split())
 
@@ -112,7 +119,9 @@ def format_turn(role: str, parts: list[dict]) -> dict:
 
 def parse_turns(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of each turn; placeholders are no text."""
-    return [(unescape(m[1]), unescape(_PLACEHOLDER.sub("", m[2]))) for m in _TURN.finditer(formatted)]
+    return [
+        (unescape(m[1]), "".join(map(unescape, _PLACEHOLDER.split(m[2])))) for m in _TURN.finditer(formatted)
+    ]
 
 
 def text_part(column: str) -> Column:
