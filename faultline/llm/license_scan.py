@@ -53,7 +53,7 @@ SCHEMA = (
     "score double, tags array<struct<expression: string, labels: array<string>, freedom: double>>"
 )
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_TOKEN = re.compile(r"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+_TOKEN = re.compile(rb"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 _BINDING = {"or": 1, "and": 2, "with": 3}
 
 
@@ -64,40 +64,55 @@ def family(identifier: str) -> str:
     return max(known, key=len) if known else name
 
 
+def well_formed(text: bytes, at: int, end: int) -> list[str]:
+    """The tokens of the longest well-formed expression that begins at a place."""
+    tokens: list[str] = []
+    good, depth, operand_next = 0, 0, True
+    while m := _TOKEN.match(text, at, end):
+        token, at = m[1].decode(), m.end()
+        if operand_next:
+            if token == "(":
+                depth += 1
+            elif token == ")" or token.lower() in _BINDING:
+                break
+            else:
+                operand_next = False
+        elif token == ")" and depth:
+            depth -= 1
+        elif token.lower() in _BINDING:
+            operand_next = True
+        else:
+            break
+        tokens.append(token)
+        if not operand_next and not depth:
+            good = len(tokens)
+    return tokens[:good]
+
+
 def postfix(text: str) -> list[str]:
     """Shunting-yard over the longest well-formed start of a text; operators come out in lower case after their operands."""
+    raw = text.encode()
+    return reordered(well_formed(raw, 0, len(raw)))
+
+
+def reordered(tokens: list[str]) -> list[str]:
     out: list[str] = []
     stack: list[str] = []
-    best: list[str] = []
-    operand_next, at = True, 0
-    while m := _TOKEN.match(text, at):
-        token, at = m[1], m.end()
+    for token in tokens:
         low = token.lower()
-        if operand_next:
-            if token == "(":
-                stack.append(token)
-                continue
-            if token == ")" or low in _BINDING:
-                break
-            out.append(token)
-            operand_next = False
+        if token == "(":
+            stack.append(token)
         elif token == ")":
-            while stack and stack[-1] != "(":
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                break
             stack.pop()
         elif low in _BINDING:
             while stack and stack[-1] != "(" and _BINDING[stack[-1]] >= _BINDING[low]:
                 out.append(stack.pop())
             stack.append(low)
-            operand_next = True
-            continue
         else:
-            break
-        if "(" not in stack:
-            best = [*out, *reversed(stack)]
-    return best
+            out.append(token)
+    return [*out, *reversed(stack)]
 
 
 def evaluate(tokens: list[str]) -> tuple[set[str], float]:
@@ -127,11 +142,13 @@ def automaton() -> ahocorasick.Automaton:
 
 def tags(raw: bytes) -> list[dict]:
     """The expressions behind identifier tags, each to the end of its line."""
-    low, found, at = raw.lower(), [], 0
+    low, found, at, end = raw.lower(), [], 0, -1
     while (at := low.find(TAG, at)) >= 0:
         at += len(TAG)
-        end = low.find(b"\n", at)
-        tokens = postfix(raw[at : end if end >= 0 else len(raw)].decode("utf-8", "replace"))
+        if end < at:
+            end = low.find(b"\n", at)
+            end = end if end >= 0 else len(raw)
+        tokens = reordered(well_formed(raw, at, end))
         if tokens:
             labels, freedom = evaluate(tokens)
             found.append({"expression": " ".join(tokens), "labels": sorted(labels), "freedom": freedom})
@@ -145,9 +162,11 @@ def scan_text(raw: bytes, machine: ahocorasick.Automaton) -> dict:
     base: set[str] = set()
     labels: set[str] = set()
     tagged = False
+    gaps, seen = 0, 0  # spaces up to the end of the last place
     for end, phrase in machine.iter(line):
         if phrase in BASE_PHRASES:
-            starts.append(line.count(" ", 0, end - len(phrase) - 1))
+            gaps, seen = gaps + line.count(" ", seen, end + 1), end + 1
+            starts.append(gaps - 2 - phrase.count(" "))
             base.add(BASE_PHRASES[phrase])
         elif phrase == TAG_WORDS:
             tagged = True

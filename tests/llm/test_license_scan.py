@@ -60,3 +60,18 @@ def test_tags_and_tables(make_docs, spark):
     assert r.score == 1.0
     assert ls.license_scan(make_docs([])).count() == 0
     assert ls.license_scan(make_docs([(None, "mit license"), (1, "a"), (1, "a")])).count() == 3
+
+
+def test_long_lines_and_expressions_take_linear_time():
+    import time
+
+    started = time.perf_counter()
+    machine = ls.automaton()
+    r = ls.scan_text(b"mit license apache license " * 100_000, machine)
+    assert (r["n_base"], r["first_word"], r["last_word"]) == (200_000, 0, 399_998)
+    r = ls.scan_text(b"SPDX-License-Identifier: " + b" OR ".join([b"MIT"] * 200_000) + b"\n", machine)
+    assert r["labels"] == "mit" and r["tags"][0]["expression"].count("or") == 199_999
+    r = ls.scan_text(b"SPDX-License-Identifier: MIT " * 50_000, machine)
+    assert len(r["tags"]) == 50_000
+    assert time.perf_counter() - started < 8
+    assert ls.postfix("(" * 50_000 + "MIT" + ")" * 49_999) == []
