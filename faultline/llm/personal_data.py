@@ -191,33 +191,58 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, out
 
 
-def count_terms(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(term, n) of the terms that a bit table lets through, in all texts; the row without a term counts all terms."""
+def copies_of(found: DataFrame) -> tuple[int, np.ndarray]:
+    """(number of distinct texts, bit table of the keys of repeated ones)."""
+    copies = common.store(found.groupBy("text_key").agg(F.count("*").alias("n")), "copies")
+    return copies.count(), bit_table(copies.filter("n > 1"), "text_key")
+
+
+def count_terms(docs: DataFrame, wanted: np.ndarray, repeated: np.ndarray) -> DataFrame:
+    """(term, n) of the terms that a bit table lets through, in each distinct text once; the row without a term counts all terms.
+
+    Texts that may be repeated give their counts under their key and are made distinct by a shuffle of these; all others are
+    summed in their tasks."""
+
+    def batch(key: int | None, terms: np.ndarray, counts: np.ndarray, total: int) -> pa.RecordBatch:
+        values = [[key], [[*terms.view(np.int64).tolist(), None]], [[*counts.tolist(), total]]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        arrays = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=["text_key", "terms", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for part in common.slices(batches):
-            hashes = common.Words([r.translate(_LETTERS) for r in common.raw_bytes(part.column("text"))]).hashes()
-            total += len(hashes)
-            own, n = np.unique(hashes[maybe_in(wanted, hashes)], return_counts=True)
+            keys = part.column("text_key").to_numpy()
+            words = common.Words([r.translate(_LETTERS) for r in common.raw_bytes(part.column("text"))])
+            hashes, again = words.hashes(), maybe_in(repeated, keys)
+            near = maybe_in(wanted, hashes)
+            for i in np.flatnonzero(again):
+                own = slice(words.first[i], words.first[i + 1])
+                yield batch(int(keys[i]), *np.unique(hashes[own][near[own]], return_counts=True), int(words.count[i]))
+            total += int(words.count[~again].sum())
+            own, n = np.unique(hashes[near & ~again[words.text]], return_counts=True)
             terms, counts = summed(np.concatenate([terms, own]), np.concatenate([counts, n]))
             if len(terms) > HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts)], names=["term", "n"])
+                yield batch(None, terms, counts, 0)
                 terms, counts = terms[:0], counts[:0]
-        terms, counts = [*terms.view(np.int64).tolist(), None], [*counts.tolist(), total]
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(counts, pa.int64())], names=["term", "n"])
+        yield batch(None, terms, counts, total)
 
-    rows = common.texts(docs).select("text").mapInArrow(run, "term long, n long")
-    return common.store(rows.groupBy("term").agg(F.sum("n").alias("n")), "counts")
+    rows = keyed(docs).select("text_key", "text").mapInArrow(run, "text_key long, terms array<long>, counts array<long>")
+    rows = common.store(rows, "term-counts")
+    once = rows.filter("text_key is not null").dropDuplicates(["text_key"])
+    both = rows.filter("text_key is null").unionByName(once).select(F.explode(F.arrays_zip("terms", "counts")).alias("c"))
+    return common.store(both.groupBy(F.col("c.terms").alias("term")).agg(F.sum("c.counts").alias("n")), "counts")
 
 
-def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(kind, term, ratio) of the terms that reveal a kind of entity."""
+def revealing(docs: DataFrame, found: DataFrame, repeated: np.ndarray | None = None) -> DataFrame:
+    """(kind, term, ratio) of the terms that reveal a kind of entity. Copies of a text count once, with entities and without."""
+    if repeated is None:
+        _, repeated = copies_of(found)
     near = found.select(F.explode("contexts").alias("c")).select("c.kind", "c.value", "c.term").distinct()
     joint = common.store(near.groupBy("kind", "term").agg(F.count("*").alias("joint")), "joint")
     kinds = joint.groupBy("kind").agg(F.sum("joint").alias("of_kind"))  # four rows at most
     joint = joint.filter(F.col("joint") >= SUPPORT)
-    counts = count_terms(docs, bit_table(joint, "term"))
+    counts = count_terms(docs, bit_table(joint, "term"), repeated)
     total = counts.filter("term is null").select(F.col("n").alias("total"))
     rows = joint.join(counts, "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(total))
     seen = F.greatest("n", "joint").cast("double")
@@ -293,14 +318,13 @@ def texts_with(rows: DataFrame, repeated: np.ndarray, pick: Callable[[list[bytes
     return pairs.groupBy("value", "term").agg(F.sum("n").alias("n"))
 
 
-def revealing_values(docs: DataFrame, found: DataFrame) -> DataFrame | None:
+def revealing_values(docs: DataFrame, found: DataFrame, copies: tuple[int, np.ndarray] | None = None) -> DataFrame | None:
     """(value, term, ratio) of the terms that reveal a single entity; none if no entity stands in enough texts."""
     held = found.select("text_key", F.explode("values").alias("value")).distinct()
     values = common.store(held.groupBy("value").agg(F.count("*").alias("of_value")).filter(F.col("of_value") >= SUPPORT), "values")
     if values.isEmpty():
         return None
-    copies = common.store(found.groupBy("text_key").agg(F.count("*").alias("n")), "copies")
-    n_texts, repeated = copies.count(), bit_table(copies.filter("n > 1"), "text_key")
+    n_texts, repeated = copies or copies_of(found)
     frequent = bit_table(values, "value")
     chosen = bit_table(holders(found, frequent), "text_key")
 
@@ -376,10 +400,11 @@ def value_hits(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame
 def personal_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, spans) of every row, by start, then kind; the added spans stand next to those of the patterns."""
     found = scan(docs)
-    terms = common.store(revealing(docs, found), "terms")
+    copies = copies_of(found)
+    terms = common.store(revealing(docs, found, copies[1]), "terms")
     near = found.select("doc_id", "text_key", F.explode("contexts").alias("c")).select("doc_id", "text_key", "c.*")
     hits = near.join(terms, ["kind", "term"]).select("doc_id", "text_key", "start", "end", "ratio")
-    of_values = revealing_values(docs, found)
+    of_values = revealing_values(docs, found, copies)
     if of_values is not None:
         hits = hits.unionByName(value_hits(docs, found, common.store(of_values, "value-ratios")))
     hits = hits.groupBy("doc_id", "text_key", "start", "end").agg(F.max("ratio").alias("ratio"))

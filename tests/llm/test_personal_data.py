@@ -141,3 +141,20 @@ def test_terms_of_single_values(spark, make_docs):
             assert "zorro" not in {t[a:b] for a, b in marked} and "rare" not in {t[a:b] for a, b in marked}
     left = {r.doc_id: r.text for r in pd.sanitise(docs).collect()}
     assert "zorro" not in left[105] and "zorro" in left[201]
+
+
+def test_copies_do_not_hide_terms(spark, make_docs):
+    """Whatever stands in a text is counted once, however often the text is repeated."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(["red", "blue", "green", "oak", "elm", "ash"]) for _ in range(n))
+    cued = [f"{text(8)} mailbox: own{i}@mail.org {text(8)}" for i in range(40)]
+    plain = [text(30) for _ in range(400)]
+    once = list(enumerate([*cued, *plain]))
+    many = [(1000 * k + i, t) for k in range(60) for i, t in enumerate(cued)] + [(100000 + i, t) for i, t in enumerate(plain)]
+    ratios = []
+    for rows in (once, many):
+        docs = make_docs(rows)
+        ratios.append(sorted((r.kind, r.term, round(r.ratio, 9)) for r in pd.revealing(docs, pd.scan(docs)).collect()))
+        spans = {r.doc_id: r.spans for r in pd.personal_spans(docs).select("doc_id", pd.F.concat_ws(",", pd.F.transform("spans", lambda s: s["kind"])).alias("spans")).collect()}
+        assert all("remove" in spans[i] for i, t in rows if "mailbox" in t)
+    assert ratios[0] == ratios[1] and ratios[0]
