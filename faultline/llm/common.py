@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a task turns into arrays at a time; a longer single text makes a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -51,6 +52,20 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def quoted(name: str) -> str:
+    """A column's name as text that finds it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_whole(docs: DataFrame, run, known: set[str], more: str = "") -> DataFrame:
+    """mapInArrow over rows with all their columns, of which `run` sees those in `known` by name and the others as _0, _1, ...;
+    `more` adds columns in DDL. Columns may have any name, dots and quotes included."""
+    names = docs.columns
+    plain = docs.toDF(*[c if c in known and names.count(c) == 1 else f"_{k}" for k, c in enumerate(names)])
+    schema = StructType([*plain.schema.fields, *(StructType.fromDDL(more).fields if more else [])])
+    return plain.mapInArrow(run, schema).toDF(*names, *[f.name for f in schema.fields[len(names) :]])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share. Only local runs may pick their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -36,8 +36,10 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 WORDS = [b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"]
 #: Kind of the spans that the field adds, and their least length.
 ADDED, LEAST_ADDED = "field", 8
-#: Documents that the field is fitted to: those with the smallest hashes of id and text.
+#: Distinct texts that the field is fitted to: half of them those with likely matches, half of them any, by the smallest hashes.
 SAMPLE = 4000
+#: What lower-case texts with a pattern match hold.
+LIKELY = "(password|passwd|secret|token|api_?key)[\"']? *[:=]|akia[a-z0-9]{12}|[0-9a-f]{32}"
 #: Tokens of a training window, negative windows of a document, rounds, step and decay of the fit.
 WINDOW, OTHERS, ROUNDS, STEP, DECAY = 24, 2, 50, 0.5, 1e-4
 HASHES = 1 << 12
@@ -258,11 +260,20 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
         for name, value in fit(rows).items():
             yield pa.RecordBatch.from_pydict({"name": [name], "rows": [value.shape[0]], "value": [value.astype(np.float64).tobytes()]})
 
-    rows = common.texts(docs).withColumn("h", F.xxhash64("doc_id", "text"))
-    # only hashes are sorted; the texts of the chosen ones are moved
-    last = rows.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    chosen = rows.filter(F.col("h") <= F.lit(last)) if last is not None else rows.limit(0)
-    chosen = chosen.dropDuplicates(["h"]).select("h", "text").repartition(1).sortWithinPartitions("h").select("text")
+    rows = common.texts(docs).select(F.xxhash64("text").alias("h"), "text")
+
+    def last(some: DataFrame) -> int | None:
+        """The SAMPLE / 2-th smallest of distinct hashes; only hashes are sorted, the texts of the chosen ones are moved."""
+        return some.select("h").distinct().orderBy("h").limit(SAMPLE // 2).agg(F.max("h")).first()[0]
+
+    # half of the sample has likely matches, however rare these are
+    likely = F.lower("text").rlike(LIKELY)
+    bounds = [(rows.where(likely), last(rows.where(likely))), (rows, last(rows))]
+    chosen = rows.limit(0)
+    for some, bound in bounds:
+        if bound is not None:
+            chosen = chosen.unionByName(some.where(F.col("h") <= F.lit(bound)))
+    chosen = chosen.dropDuplicates(["h"]).repartition(1).sortWithinPartitions("h").select("text")
     found = chosen.mapInArrow(run, "name string, rows long, value binary").collect()
     model = {r["name"]: np.frombuffer(r["value"], np.float64).reshape(r["rows"], 3) for r in found}
     return model or fit([])
@@ -293,8 +304,19 @@ def field_spans(tokens: Tokens, model: dict[str, np.ndarray]) -> dict[int, list[
     return out
 
 
+def outside(start: int, end: int, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a span that lie in none of the others."""
+    for _, a, b in sorted(spans, key=lambda s: s[1:]):
+        if b > start and a < end:
+            if a > start:
+                yield start, a
+            start = max(start, b)
+    if start < end:
+        yield start, end
+
+
 def scan(rows: list[bytes], model: dict[str, np.ndarray]) -> list[list[tuple[str, int, int]]]:
-    """Spans of each text, by start, then kind; added ones don't touch those of the patterns."""
+    """Spans of each text, by start, then kind; of added ones the parts outside those of the patterns."""
     tokens = Tokens(rows)
     added = field_spans(tokens, model)
     out = []
@@ -310,8 +332,9 @@ def scan(rows: list[bytes], model: dict[str, np.ndarray]) -> list[list[tuple[str
         for a, b in added.get(k, []):
             start = len(raw[:a].decode())
             end = start + len(raw[a:b].decode())
-            if end - start >= LEAST_ADDED and all(end <= x or start >= y for _, x, y in own):
-                spans.append((ADDED, start, end))
+            for x, y in outside(start, end, own):
+                if y - x >= LEAST_ADDED:
+                    spans.append((ADDED, x, y))
         out.append(sorted(spans, key=lambda s: (s[1], [*KINDS, ADDED].index(s[0]))))
     return out
 
@@ -360,13 +383,13 @@ def redact(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataF
                     texts[k] = redacted(raws[k], spans)
                     if counts:
                         counts[k] = len(texts[k])
-            columns = {c: part.column(c) for c in names}
+            columns = dict(zip(part.schema.names, part.columns, strict=True))
             columns["text"] = pa.array(texts, part.schema.field("text").type)
             if counts:
                 columns["n_chars"] = pa.array(counts, part.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(run, docs.schema) if renewed else docs
+    return common.map_whole(docs, run, {"text", "n_chars"}) if renewed else docs
 
 
 def joined(spans: str, kinds: list[str] | None = None) -> Column:

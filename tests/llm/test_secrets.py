@@ -100,3 +100,24 @@ def test_all_outside_needs_no_decoding():
         if any(tags):
             whole[k] = tags.count(1)
     assert {k: len(v) for k, v in sc.field_spans(tokens, model).items()} == whole and rng is not None
+
+
+def test_parts_outside_matches():
+    spans = [("hex", 10, 20), ("access", 15, 30), ("assign", 40, 50)]
+    assert list(sc.outside(0, 60, spans)) == [(0, 10), (30, 40), (50, 60)]
+    assert list(sc.outside(12, 28, spans)) == [] and list(sc.outside(52, 60, spans)) == [(52, 60)]
+
+
+def test_sample_takes_distinct_texts_and_rare_matches(make_docs, monkeypatch):
+    """Thousands of copies of one text leave room for the others, and a match in one of very many texts is learned from."""
+    monkeypatch.setattr(sc, "SAMPLE", 20)
+    seen = []
+    monkeypatch.setattr(sc, "fit", lambda rows: seen.append(len(rows)) or {})
+    rows = [(i, "the same text") for i in range(300)] + [(1000 + i, f"plain text {i}") for i in range(300)]
+    rows += [(5000 + i, f"password = abcdefgh1234{i}") for i in range(3)]
+    docs = make_docs(rows)
+    given = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: given.append([r.text for r in self.collect()]) or self.limit(0))
+    sc.learn(docs)
+    (texts,) = given
+    assert len(texts) == len(set(texts)) and sum("password" in t for t in texts) == 3 and 12 <= len(texts) <= 13
