@@ -288,21 +288,22 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, path: str | None = None, ids_column: str = "piece_ids") -> DataFrame:
-    """The documents with the ids of their pieces; a column of that name is replaced."""
+def encode(docs: DataFrame, path: str | None = None, ids_column: str = "piece_ids", flag: str = "decodes") -> DataFrame:
+    """The documents with the ids of their pieces, and whether these decode to the text (a null text decodes to an empty one);
+    columns of these names are replaced."""
     v = Vocabulary.load(path or default_path())
-    names = [c for c in docs.columns if c != ids_column]
-    rows = docs.select(*names)
+    rows = docs.select(*[common.quoted(c) for c in docs.columns if c not in (ids_column, flag)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(v)
         for part in common.slices(batches):
-            ids, sizes = encoder.encode(common.raw_bytes(part.column("text")))
+            raws = common.raw_bytes(part.column("text"))
+            ids, sizes = encoder.encode(raws)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*names, ids_column])
+            same = pa.array([a == b for a, b in zip(raws, decode(ids, sizes, v), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*part.columns, lists, same], names=[*part.schema.names, ids_column, flag])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, `{ids_column}` array<int>")
+    return common.map_whole(rows, run, {"text"}, f"`{ids_column}` array<int>, `{flag}` boolean")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

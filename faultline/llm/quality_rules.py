@@ -120,7 +120,7 @@ def verdicts(docs: DataFrame, trusted: DataFrame, *carry: str) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
-        F.struct(*[F.col(c) for c in carry]).alias("_row") if carry else F.lit(None).alias("_row"),
+        F.struct(*[F.col(common.quoted(c)) for c in carry]).alias("_row") if carry else F.lit(None).alias("_row"),
     )
     base = base_counts(rows).withColumn("text_key", F.xxhash64("text")).drop("text")
     grams = hashed(docs)

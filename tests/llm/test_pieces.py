@@ -121,7 +121,7 @@ def test_round_trip_and_tables(spark, make_docs, vocabulary, monkeypatch):
     found = pc.round_trip(make_docs(rows)).collect()
     assert len(found) == len(rows) and all(r.same for r in found)
     docs = pc.encode(make_docs(rows), ids_column="score")
-    assert docs.columns == [*[c for c in make_docs(rows).columns if c != "score"], "score"]
+    assert docs.columns == [*[c for c in make_docs(rows).columns if c != "score"], "score", "decodes"] and all(r.decodes for r in docs.collect())
     for r in docs.collect():
         assert pc.decode(np.array(r.score, np.int32), np.array([len(r.score)]), vocabulary) == [(r.text or "").encode()]
     assert pc.round_trip(make_docs([])).count() == 0 and pc.encode(make_docs([])).count() == 0
