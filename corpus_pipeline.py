@@ -4,6 +4,11 @@
 
 Each stage takes (spark, docs, folder of the tables) and works on all rows that the stage before kept; its result is written as
 Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Defined results: a null or empty text fails the base rules of the first stage, so no later stage sees one. Rows that are repeated
+with their text are near-duplicates of each other: one of them stays; a null id is an id like others. Without good labels the ratio keeps all
+that pass the base rules; an empty benchmark drops nothing; empty documents give an empty result. Other columns, whatever
+their names, are passed on; `piece_ids` and `decodes` are replaced.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All documents with the ids of their pieces, which decode to the text."""
+    """All documents with the ids of their pieces, decoded again in the same task: `decodes` says that the text came back."""
     return pieces.encode(docs)
 
 
