@@ -165,7 +165,8 @@ def finding_triples(findings: DataFrame, activity: str | None = None) -> DataFra
             fact(PROVENANCE, run, PROV + "generated", finding),
             fact(PROVENANCE, run, PROV + "used", F.col("derived_from")),
         ]
-    return findings.select(F.explode(F.array_compact(F.array(*facts))).alias("f")).select("f.*").distinct()
+    rows = findings.select(F.explode(F.array_compact(F.array(*facts))).alias("f")).select("f.*")
+    return rows.where("o IS NOT NULL").distinct()  # a finding may lack its source
 
 
 def finding_lineage(triples: DataFrame) -> DataFrame:

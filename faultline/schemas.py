@@ -51,6 +51,8 @@ PRIMARY_KEY = {
     "alerts": "telemetry_alert_id",
     "snapshots": "impact_snapshot_id",
 }
+POSITION = "STRUCT<file: STRING, block: BIGINT, row: BIGINT>"
+ORDER = f"STRUCT<run_at: TIMESTAMP_NTZ, position: {POSITION}>"
 
 ISSUE = (
     "incident_id STRING, asset_id STRING, issue_type STRING, severity STRING, message STRING, evidence_json STRING"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +14,12 @@ from faultline.functions import scoring
 from faultline.operators import core as core_ops
 from faultline.operators import findings, followup, graph, quality, reconcile, shapes, validators, workflow
 from faultline.operators.raw_load import rejected_keys, split_duplicates
-from faultline.plans import views
+from faultline.plans import batch, detail, views
 from faultline.plans.analytics import Analytics
+from faultline.session import checkpoint, shared_folder
 from faultline.sources.contracts import FEED_BY_CORE, RAW_FEEDS, TOPOLOGY_FEED, contract_table
 from faultline.sources.order_tables import incident_tables, raw_feeds
+from faultline.sources.warehouse import Warehouse
 
 RUN = "RUN-1"
 CONTRACT_TABLES = {feed.core: feed.target_table for feed in (*RAW_FEEDS, TOPOLOGY_FEED)}
@@ -30,6 +34,7 @@ class Model:
         self.core = incident_tables(spark, folder)
         self.candidates = self.core.pop("incident_candidates")
         self.analytics = Analytics(self.core)
+        self.canonical: tuple[DataFrame, DataFrame] | None = None
         for name, table in self.core.items():
             setattr(self, name, table)
 
@@ -184,6 +189,55 @@ def core_load_counts(m: Model) -> DataFrame:
     return reduce(DataFrame.unionByName, [count(name, *pair) for name, pair in _accepted(m).items()])
 
 
+def _deliveries(m: Model) -> list[dict[str, DataFrame]]:
+    """The clean feeds in two deliveries. The second brings half of the incidents, which rows of the first wait for, and some
+    records again."""
+    last = F.right("source_record_id", F.lit(1))
+    place = F.struct(F.lit("feed").alias("file"), F.lit(0).alias("block"), F.col("position").alias("row"))
+    raw = {name: df.withColumn("position", place) for name, df in m.raw(bad_dates=False).items()}
+    first = {name: df.where(last < ("5" if name == "incidents" else "7")) for name, df in raw.items()}
+    return [first, {name: df if name == "incidents" else df.where(last >= "5") for name, df in raw.items()}]
+
+
+def _loaded_in_two_runs(m: Model) -> Warehouse:
+    root = f"{shared_folder(m.spark)}/incremental-{uuid.uuid4().hex}"
+    known = {name: m.core[name] for name in batch.MASTERS}
+    for n, feeds in enumerate(_deliveries(m), 1):
+        house, started = Warehouse(m.spark, root, buckets=8), datetime(2030, 1, n)
+        landed = {name: house.write_snapshot(df, "landing", name, f"RUN-{n}") for name, df in feeds.items()}
+        batch.load_raw(house, landed, f"RUN-{n}")
+        batch.load_payloads(house, f"RUN-{n}", started, known)
+        counts = house.write_run_part(batch.layer_counts(house), "ops/counts", f"RUN-{n}")
+        row = {"pipeline_run_id": f"RUN-{n}", "started_at": started, "finished_at": started}
+        house.append_run(row | batch.ledger_counts(house, counts))
+    return Warehouse(m.spark, root, buckets=8)
+
+
+@query
+def incremental_load_counts(m: Model) -> DataFrame:
+    """What two runs loaded, rejected, accepted into core and left waiting, as observed by the writes."""
+    counts = _loaded_in_two_runs(m).run_parts("ops/counts")
+    feed = F.when(F.col("table_name") == "", F.element_at(F.split("layer", "/"), 2)).otherwise(F.col("table_name"))
+    of = lambda layer: F.sum(F.when(F.split("layer", "/")[0] == layer, F.col("rows")).otherwise(0))
+    return counts.groupBy("pipeline_run_id", feed.alias("feed")).agg(
+        of("raw").alias("rows_loaded"), of("rejects").alias("rows_rejected"), of("accepted").alias("rows_accepted"),
+        of("waiting").alias("rows_waiting"),
+    )
+
+
+@query
+def incremental_ledger(m: Model) -> DataFrame:
+    return _loaded_in_two_runs(m).runs().select(
+        "pipeline_run_id", "status", "rows_loaded", "rows_rejected", "core_records_loaded", "core_records_skipped"
+    )
+
+
+@query
+def incremental_work_orders(m: Model) -> DataFrame:
+    """Core rows after two runs: those of one run over everything."""
+    return _loaded_in_two_runs(m).core("work_orders")
+
+
 @query
 def core_snapshots(m: Model) -> DataFrame:
     text = m.snapshots.select(
@@ -372,12 +426,12 @@ def contracts(m: Model) -> DataFrame:
 
 @query
 def queue_scope_sizes(m: Model) -> DataFrame:
-    return views.scope_sizes(m.follow_ups())
+    return views.scope_sizes(m.follow_ups(ranked=False))
 
 
 @query
 def queue_summary(m: Model) -> DataFrame:
-    return views.queue_summary(m.follow_ups())
+    return views.queue_summary(m.follow_ups(ranked=False))
 
 
 @query
@@ -412,7 +466,7 @@ def validation_status_summary(m: Model) -> DataFrame:
 @query
 def overview(m: Model) -> DataFrame:
     a = m.analytics
-    checks = quality.check_results(quality.core_failures(m.core), RUN, quality.RAW_CHECK_COUNT + 1)
+    checks = m.checks()
     latest = views.latest_runs(m.runs(), 1)
     # The checks belong to the newest run of the ledger.
     checks = checks.drop("pipeline_run_id").crossJoin(F.broadcast(latest.select("pipeline_run_id")))
@@ -531,7 +585,7 @@ def issue_evidence(m: Model) -> DataFrame:
 
 @query
 def quality_flags(m: Model) -> DataFrame:
-    checks = quality.check_results(quality.core_failures(m.core), RUN, quality.RAW_CHECK_COUNT + 1)
+    checks = m.checks()
     issues = reconcile.all_issues(
         m.incidents, m.events, m.work_orders, m.validations, m.snapshots, m.status
     )
@@ -543,6 +597,24 @@ def impact_trust_flags(m: Model) -> DataFrame:
     return views.impact_trust_flags(m.impact_issues())
 
 
+def _details(m: Model, limit: int = detail.LIMIT) -> tuple[DataFrame, DataFrame]:
+    issues = reconcile.all_issues(m.incidents, m.events, m.work_orders, m.validations, m.snapshots, m.status)
+    flags = views.quality_flags(m.incidents, m.checks(), issues)
+    rows = detail.detail_rows(m.core, m.leads, flags, views.impact_trust_flags(m.impact_issues()))
+    return detail.incident_details(m.incidents, rows, limit)
+
+
+@query
+def incident_detail(m: Model) -> DataFrame:
+    return _details(m)[0]
+
+
+@query
+def incident_detail_long(m: Model) -> DataFrame:
+    """The rows of incidents that would be too large for one row, here at a limit of 40."""
+    return _details(m, limit=40)[1]
+
+
 # --- graph ---------------------------------------------------------------------------------------------------------
 
 
@@ -649,12 +721,16 @@ def entailed_types(m: Model) -> DataFrame:
 
 @query
 def contract_shape_report(m: Model) -> DataFrame:
-    return shapes.validation_report(findings.canonical_triples(m.core), shapes.CONTRACT_SHAPES)
+    triples, types = _canonical(m)
+    return shapes.validation_report(triples, shapes.CONTRACT_SHAPES, types)
 
 
 def _canonical(m: Model) -> tuple[DataFrame, DataFrame]:
-    triples = findings.canonical_triples(m.core)
-    return triples, shapes.entailed_types(triples, shapes.CONTRACT_SHAPES)
+    """Triples and entailed types, written once: every rule and every kind of constraint reads them."""
+    if m.canonical is None:
+        triples = checkpoint(findings.canonical_triples(m.core))
+        m.canonical = triples, checkpoint(shapes.entailed_types(triples, shapes.CONTRACT_SHAPES))
+    return m.canonical
 
 
 @query
@@ -685,37 +761,57 @@ def impact_trust(m: Model) -> DataFrame:
 ACTIVITY = "urn:dcai:activity:RUN-1"
 
 
+def _damaged_findings(m: Model) -> DataFrame:
+    """Findings of all six types; some have lost their text, some their source."""
+    last = F.right("finding", F.lit(1))
+    return findings.all_findings(*_canonical(m)).select(
+        "finding",
+        "finding_type",
+        F.when(last == "3", "").otherwise(F.col("text")).alias("text"),
+        F.when(last != "7", F.col("derived_from")).alias("derived_from"),
+    )
+
+
+def _finding_graph(m: Model) -> DataFrame:
+    """Their triples; findings on trust were made by no known activity."""
+    rows = _damaged_findings(m)
+    trust = F.col("finding_type") == "TrustFinding"
+    made = findings.finding_triples(rows.where(~trust), ACTIVITY)
+    return made.unionByName(findings.finding_triples(rows.where(trust)))
+
+
 @query
 def finding_lineage(m: Model) -> DataFrame:
-    rows = findings.recovery_blocker(*_canonical(m)).unionByName(findings.impact_trust(*_canonical(m)))
-    return findings.finding_lineage(findings.finding_triples(rows, ACTIVITY))
+    return findings.finding_lineage(_finding_graph(m))
 
 
 @query
 def provenance_edges(m: Model) -> DataFrame:
-    rows = findings.restore_readiness(*_canonical(m))
-    return findings.provenance_edges(findings.finding_triples(rows, ACTIVITY))
+    return findings.provenance_edges(_finding_graph(m))
+
+
+@query
+def provenance_edges_of_activity(m: Model) -> DataFrame:
+    return findings.provenance_edges(_finding_graph(m), ACTIVITY)
 
 
 @query
 def promoted_triples(m: Model) -> DataFrame:
     """Facts that reach the canonical graph: subjects with an unknown stage or an unknown asset stay out."""
-    triples = findings.canonical_triples(m.core)
-    types = shapes.entailed_types(triples, shapes.CONTRACT_SHAPES)
+    triples, types = _canonical(m)
     promoted, quarantined = findings.promote(triples, shapes.violating_subjects(triples, shapes.CONTRACT_SHAPES, types))
-    return (
-        promoted.groupBy("p").agg(F.count(F.lit(1)).alias("facts")).withColumn("outcome", F.lit("promoted"))
-        .unionByName(
-            quarantined.groupBy("p").agg(F.count(F.lit(1)).alias("facts")).withColumn("outcome", F.lit("quarantined"))
-        )
+    columns = ["s", "p", "o", "o_kind", "o_datatype"]
+    return promoted.select(*columns, F.lit("promoted").alias("outcome")).unionByName(
+        quarantined.select(*columns, F.lit("quarantined").alias("outcome"))
     )
 
 
 @query
 def promotion_gates(m: Model) -> DataFrame:
+    """Every finding against the whole report. Facts that end in 8 are gone; blockers are approved, and what ends in 5."""
     triples, types = _canonical(m)
-    rows = findings.recovery_blocker(triples, types)
-    known = triples.where(F.col("p") == shapes.ONTOLOGY + "hasIdentifier").select("s")
-    report = shapes.validation_report(triples, shapes.CONTRACT_SHAPES, types).where("component = 'maxCount'")
-    approvals = rows.where("finding_type = 'RecoveryBlocker'").select("finding")
+    rows = _damaged_findings(m)
+    known = triples.where((F.col("p") == shapes.ONTOLOGY + "hasIdentifier") & (F.right("s", F.lit(1)) != "8")).select("s")
+    report = shapes.validation_report(triples, shapes.CONTRACT_SHAPES, types)
+    approvals = rows.where("finding_type = 'RecoveryBlocker' OR right(finding, 1) = '5'").select("finding")
     return findings.promotion_gates(rows, report, known, approvals)
