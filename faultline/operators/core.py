@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline import schemas
 from faultline.functions.scalar import col, parse_iso, truthy
+from faultline.operators.skew import spread_nulls
 from faultline.sources.contracts import FEED_BY_CORE, Feed
 
 READINGS = f"ARRAY<{schemas.READING}>"
@@ -65,7 +66,8 @@ def keep_known(rows: DataFrame, column: str, known: DataFrame, key: str, optiona
     if not optional:
         return rows.join(ids, F.col(column) == F.col("_id"), "left_semi")
     filled = F.nullif(F.col(column), F.lit(""))
-    return rows.join(ids, filled == F.col("_id"), "left").where(filled.isNull() | F.col("_id").isNotNull()).drop("_id")
+    key = spread_nulls(filled, *rows.columns)
+    return rows.join(ids, key == F.col("_id"), "left").where(filled.isNull() | F.col("_id").isNotNull()).drop("_id")
 
 
 def upsert(stored: DataFrame | None, new: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import scoring
 from faultline.functions.scalar import is_active, round_even
-from faultline.operators.skew import global_rank
+from faultline.operators.skew import global_rank, spread_nulls
 from faultline.operators.workflow import latest_snapshots, lead_profile
 
 
@@ -24,8 +24,8 @@ def spare_risk(work_orders: DataFrame, spares: DataFrame) -> DataFrame:
         F.when(stock == "OUT_OF_STOCK", 18).when(stock == "LOW_STOCK", 10).otherwise(0),
     )
     orders = work_orders.join(
-        spares.select(F.col("spare_id").alias("required_spare_id"), "stock_status", "critical_spare"),
-        "required_spare_id",
+        spares.select("spare_id", "stock_status", "critical_spare"),
+        spread_nulls(F.col("required_spare_id"), "work_order_id") == F.col("spare_id"),
         "left",
     ).select(
         "incident_id",

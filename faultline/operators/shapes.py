@@ -346,7 +346,10 @@ def _class_violations(triples: DataFrame, types: DataFrame, table: DataFrame) ->
     values = triples.join(rules, F.col("p") == F.col("path"))
     typed = types.select(F.col("node").alias("_node"), F.col("class").alias("_class"))
     is_typed = (F.col("o_kind") == "iri") & (F.col("o") == F.col("_node")) & (F.col("value_class") == F.col("_class"))
-    bad = values.join(typed, is_typed, "left_anti")
+    # Each object is asked for once, however many values it stands in; only the bad ones meet their values again.
+    asked = ["path", "value_class", "o", "o_kind"]
+    wrong = values.select(*asked).distinct().join(typed, is_typed, "left_anti")
+    bad = values.join(wrong, asked, "left_semi")
     hit = bad.join(types, (F.col("s") == F.col("node")) & (F.col("target") == F.col("class")), "left_semi")
     return hit.withColumn("focus", F.col("s")).select(
         *_row("path", "class", "o", F.concat(F.lit("value is not a "), local_name("value_class")))

@@ -57,6 +57,12 @@ def chunk_hot_keys(df: DataFrame, keys: list[str], order: list[str], limit: int
     return Chunked(ordinary.unionByName(large), keys, True)
 
 
+def spread_nulls(key: Column, *by: str | Column) -> Column:
+    """A text key for an outer join in which rows without key match nothing, as before, but don't all meet in one task."""
+    nothing = F.concat(F.lit("\u0000"), F.xxhash64(*by).cast("string"))
+    return F.coalesce(key, nothing)
+
+
 def ends(df: DataFrame, keys: list[str], order: list[str], item: str) -> DataFrame:
     """How many items each key has, and which are the first and the last: one row per key at every size."""
     place = F.struct(*order)

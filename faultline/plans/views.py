@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultline import vocab
 from faultline.functions import scoring
 from faultline.functions.scalar import actual_or_estimated, is_active, lookup, round_even, title_case
+from faultline.operators.skew import spread_nulls
 from faultline.operators.workflow import latest_snapshots
 
 # --- runs and checks -----------------------------------------------------------------------------
@@ -340,11 +341,12 @@ def timeline(events: DataFrame, incident_id: str | None = None) -> DataFrame:
 
 def work_orders_with_spares(work_orders: DataFrame, spares: DataFrame) -> DataFrame:
     named = spares.select(
-        F.col("spare_id").alias("required_spare_id"),
+        F.col("spare_id").alias("_spare"),
         F.col("spare_name").alias("required_spare_name"),
         "stock_status",
     )
-    return work_orders.join(named, "required_spare_id", "left")
+    key = spread_nulls(F.col("required_spare_id"), "work_order_id")
+    return work_orders.join(named, key == F.col("_spare"), "left").drop("_spare")
 
 
 def incident_detail(

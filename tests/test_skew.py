@@ -144,3 +144,33 @@ def test_spare_risk_equals_the_ordered_fold(spark):
     )
     found = {r.incident_id: r.spare_risk for r in found.collect()}
     assert {k: min(v, 22) for k, v in expected.items() if v} == {k: v for k, v in found.items() if v}
+
+
+def test_rows_without_key_are_spread(spark):
+    """Nine tenths of the rows have no key: they stay, match nothing, and no task gets most of them."""
+    from faultline.operators.core import keep_known
+    from faultline.operators.skew import spread_nulls
+
+    rows = spark.range(20000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN 'K' || (id % 40) WHEN id % 10 = 1 THEN '' END AS ref")
+    known = spark.createDataFrame([("K0",), ("K20",)], "k string")
+    kept = keep_known(rows, "ref", known, "k", optional=True)
+    assert kept.columns == ["id", "ref"]
+    assert kept.count() == 18000 + sum(1 for i in range(0, 20000, 10) if i % 40 in (0, 20))
+    key = spread_nulls(F.nullif(F.col("ref"), F.lit("")), "id")
+    sizes = [r.n for r in rows.select(key.alias("key")).repartition(16, "key").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_class_check_with_one_object_in_most_values(spark):
+    """One stage node stands in nine tenths of the values; typed it gives no row, untyped one for each value."""
+    from faultline.operators import shapes
+
+    ont, iri = shapes.ONTOLOGY, "iri"
+    stage = [(f"i{k}", ont + "hasCurrentStage", "stage:a" if k % 10 else f"stage:{k}", iri, None) for k in range(500)]
+    types = [(f"i{k}", ont + "InfrastructureIncident") for k in range(500)] + [(f"stage:{k}", ont + "WorkflowStage") for k in range(0, 500, 10)]
+    triples = spark.createDataFrame(stage, "s string, p string, o string, o_kind string, o_datatype string")
+    for extra, wrong in (([], 450), ([("stage:a", ont + "WorkflowStage")], 0)):
+        typed = spark.createDataFrame(types + extra, "node string, class string")
+        report = shapes.validation_report(triples, shapes.CONTRACT_SHAPES, typed)
+        found = report.where("component = 'class'").collect()
+        assert len(found) == wrong
