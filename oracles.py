@@ -1109,14 +1109,15 @@ CTES["c_detail"] = (
     + js(validation_id="validation_id", validation_status="validation_status", failure_reason="failure_reason")
     + " FROM c_validations UNION ALL SELECT linked_incident_id, 4, telemetry_alert_id, telemetry_alert_id, "
     + js(telemetry_alert_id="telemetry_alert_id", alert_type="alert_type", severity="severity",
-         triggered_at=iso("triggered_at"))
+         triggered_at="CASE WHEN epoch_us(triggered_at) % 1000000 = 0 THEN " + iso("triggered_at")
+         + " ELSE strftime(triggered_at, '%Y-%m-%dT%H:%M:%S.%f') END")
     + " FROM c_alerts WHERE linked_incident_id IS NOT NULL UNION ALL SELECT incident_id, 5, impact_snapshot_id, "
     "impact_snapshot_id, "
     + js(impact_snapshot_id="impact_snapshot_id", snapshot_at=iso("snapshot_at"), redundancy_state="redundancy_state",
          vendor_status="vendor_status", mitigation_status="mitigation_status", affected_gpu_count="affected_gpu_count")
     + " FROM c_latest_asc UNION ALL SELECT incident_id, 6, CAST(flag_source AS VARCHAR), sort_key, "
     + js(source="CAST(flag_source AS VARCHAR)", kind="sort_key", text="flag")
-    + " FROM (SELECT * FROM c_quality_flags UNION ALL SELECT incident_id, 3, severity || ' ' || issue_type, message FROM "
+    + " FROM (SELECT incident_id, 3 AS flag_source, severity || ' ' || issue_type AS sort_key, message AS flag FROM "
     "c_v_impact_issues) f"
 )
 _sections = ["stage_lead_times", "timeline", "work_orders", "validations", "alerts", "impact_snapshot", "flags"]

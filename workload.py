@@ -598,9 +598,8 @@ def impact_trust_flags(m: Model) -> DataFrame:
 
 
 def _details(m: Model, limit: int = detail.LIMIT) -> tuple[DataFrame, DataFrame]:
-    issues = reconcile.all_issues(m.incidents, m.events, m.work_orders, m.validations, m.snapshots, m.status)
-    flags = views.quality_flags(m.incidents, m.checks(), issues)
-    rows = detail.detail_rows(m.core, m.leads, flags, views.impact_trust_flags(m.impact_issues()))
+    """With the flags of trust; those of quality are the query ``quality_flags`` and would compute all checks and issues."""
+    rows = detail.detail_rows(m.core, m.leads, views.impact_trust_flags(m.impact_issues()))
     return detail.incident_details(m.incidents, rows, limit)
 
 
