@@ -4,10 +4,12 @@ import os
 
 from pyspark.sql import functions as F
 
-from faultline.functions.scalar import is_iso
+from faultline.functions.scalar import explode_present, is_iso
 from faultline.operators import findings, quality, raw_load, skew
 from faultline.operators.validators import emit, issue
 from faultline.session import checkpoint, shared_folder
+from faultline.sources.contracts import RAW_FEEDS
+from faultline.vocab import SOURCE_SYSTEM
 
 
 def plan_of(df) -> str:
@@ -87,3 +89,40 @@ def test_outcomes_are_one_join(spark):
     assert plan_of(both).count("Join") == 1
     assert sorted((r.s, r.p, r.outcome) for r in both.collect()) == [
         ("a", "p", "quarantined"), ("a", "q", "quarantined"), ("b", "p", "promoted")]
+
+
+def test_items_are_built_once_and_compiled(spark):
+    """No generator or higher-order function holds the expressions, which Spark would interpret row by row."""
+    df = spark.range(4).select("id", F.concat(F.lit("k"), "id").alias("k"))
+    items = [F.when(F.col("id") > 1, F.struct(F.lower("k").alias("k"))), F.when(F.col("id") > 2, F.struct(F.upper("k").alias("k")))]
+    found = explode_present(df, items, "f", "id").select("id", "f.k")
+    assert sorted(tuple(r) for r in found.collect()) == [(2, "k2"), (3, "K3"), (3, "k3")]
+    assert "lambda" not in plan_of(found) and plan_of(found).count("upper(") == 1
+    issues = emit(df, (F.col("id") > 2, issue("a", "text", F.lit("{}"), incident="k")))
+    assert "lambda" not in plan_of(issues)
+
+
+def test_raw_records_are_made_once_for_all_flaws(spark):
+    """One pass over keys for copies, one over payloads for everything else, references included."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "source_system STRING, source_record_id STRING, payload STRING, position INT"
+    empty = spark.createDataFrame([], schema)
+    raw = {feed.core: empty for feed in RAW_FEEDS}
+    raw["incidents"] = spark.createDataFrame([(SOURCE_SYSTEM, "1", '{"incident_id":"INC-1"}', 0)], schema)
+    events = [
+        (SOURCE_SYSTEM, "2", '{"incident_id":"INC-1","occurred_at":"bad"}', 0), (SOURCE_SYSTEM, "3", "oops", 0),
+        (SOURCE_SYSTEM, "4", '{"incident_id":"INC-2","occurred_at":"2024-01-01"}', 0), ("other", "5", '{"incident_id":"INC-1"}', 0),
+    ]
+    raw["events"] = spark.createDataFrame(events, schema).mapInArrow(count, schema)
+    rows = quality.raw_failures(raw).collect()
+    assert seen.value == 2 * len(events)
+    number = quality.check_number("missing_infrastructure_request_reference", "raw_incident_stage_events")
+    assert sorted(r.failed_key for r in rows if r.check_number == number) == [f"{SOURCE_SYSTEM}:3", f"{SOURCE_SYSTEM}:4"]
+    dates = quality.check_number("invalid_date_format", "raw_incident_stage_events")
+    assert [r.failed_key for r in rows if r.check_number == dates] == [f"{SOURCE_SYSTEM}:2 field=occurred_at"]
