@@ -1,6 +1,8 @@
 """Runs that add up: late parents, redelivered keys, partitions read and written."""
 
 import json
+import os
+import time
 from datetime import datetime
 
 import pytest
@@ -116,3 +118,26 @@ def test_full_bit_tables_cost_reads_not_answers(spark, tmp_path):
     assert early.count() == keys.where("source_record_id < '3'").count()
     index.add(keys.limit(0), "c")
     assert index.stored_among(keys.limit(0), lambda df: df).count() == 0
+
+
+def test_a_run_keeps_no_working_copies(spark, tmp_path, known):
+    """Accepted and changed rows stand in core, so their copies go; nothing that a later run reads goes with them."""
+    runs = [([incident(1)], [order(7, 1), order(8, 2)]), ([incident(2)], [order(7, 1, source="b", assigned_team="new")])]
+    house = load(spark, str(tmp_path), known, runs)
+    for area in ("accepted", "changed"):
+        assert not [f for _, _, files in os.walk(tmp_path / area) for f in files], area
+    assert [(r.work_order_id, r.assigned_team) for r in house.core("work_orders").orderBy("work_order_id").collect()] == [("W7", "new"), ("W8", "x")]
+    assert ("changed", "work_orders", 2) in [(r.layer, r.table_name, r.rows) for r in house.run_parts("ops/counts").collect()]
+
+
+def test_shuffle_files_go_when_a_step_ends(spark):
+    """A session that is configured doesn't leave them to the driver's garbage collection."""
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    count = lambda: sum(tracker.getAllBlocks().apply(i).isShuffle() for i in range(tracker.getAllBlocks().size()))
+    before = count()
+    spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().write.format("noop").mode("overwrite").save()
+    for _ in range(50):
+        if count() <= before:
+            break
+        time.sleep(0.1)
+    assert count() <= before
