@@ -4,8 +4,11 @@ import os
 
 from pyspark.sql import functions as F
 
+import workload
+from faultline import schemas
 from faultline.functions.scalar import explode_present, is_iso
 from faultline.operators import findings, quality, raw_load, shapes, skew
+from faultline.operators.core import _name_types
 from faultline.operators.validators import emit, issue
 from faultline.session import checkpoint, shared_folder
 from faultline.sources.contracts import RAW_FEEDS
@@ -154,3 +157,33 @@ def test_conformance_asks_kinds_until_one_fails(spark):
         triples = spark.createDataFrame(rows, schema)
         report = shapes.validation_report(triples, shapes.CONTRACT_SHAPES)
         assert shapes.conforms(triples, shapes.CONTRACT_SHAPES) == (report.count() == 0)
+
+
+def test_one_check_computes_one_check(spark):
+    """The other checks' rules are not run for it, and its result is the one among all."""
+    def counting(df, seen):
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(count, df.schema)
+
+    schema = "source_system STRING, source_record_id STRING, payload STRING, position INT"
+    model, seen = object.__new__(workload.Model), spark.sparkContext.accumulator(0)
+    model.core = {name: spark.createDataFrame([], ddl) for name, ddl in schemas.CORE.items()}
+
+    def rows(name, **values):
+        rest = [f"CAST(NULL AS {kind}) AS {n}" for n, kind in _name_types(schemas.CORE[name])[len(values):]]
+        return spark.range(1).selectExpr(*[f"'{value}' AS {n}" for n, value in values.items()], *rest)
+
+    model.core["events"] = rows("events", event_id="E1", incident_id="I1", stage="RESTORED", event_type="ENTERED_STAGE")
+    model.core["validations"] = counting(rows("validations", validation_id="V", incident_id="I1"), seen)
+    model.raw = lambda: {feed.core: counting(spark.createDataFrame([("s", "1", "{}", 0)], schema), seen) for feed in RAW_FEEDS}
+    every = {r.check_result_id: r for r in model.checks().collect()}
+    assert len(every) == 41 and seen.value > 1
+    for number, read in ((30, 0), (39, 1)):
+        before, result = seen.value, f"DQ-RUN-1-0{number}"
+        assert model.checks(only=number).collect() == [every[result]] and every[result].failed_row_count == 1
+        assert seen.value - before == read
+    assert model.checks(only=3).collect() == [every["DQ-RUN-1-003"]]
