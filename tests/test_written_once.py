@@ -187,3 +187,11 @@ def test_one_check_computes_one_check(spark):
         assert model.checks(only=number).collect() == [every[result]] and every[result].failed_row_count == 1
         assert seen.value - before == read
     assert model.checks(only=3).collect() == [every["DQ-RUN-1-003"]]
+
+
+def test_references_are_read_from_the_fields_parsed(spark):
+    """A record's JSON is parsed once, also for its reference."""
+    schema = "source_system STRING, source_record_id STRING, payload STRING, position INT"
+    raw = {feed.core: spark.createDataFrame([], schema) for feed in RAW_FEEDS}
+    plan = quality.raw_failures(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan
