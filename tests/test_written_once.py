@@ -215,3 +215,34 @@ def test_classes_meet_as_one_row_per_node(spark):
         got = sorted((r.focus_node, r.component, r.value, r.message) for r in report.collect() if r.focus_node == "i")
         assert got == [("i", "class", "x", f"value is not a {o}WorkflowStage"), ("i", "maxCount", None, "more than 1 values"),
                        ("i", "or", None, "needs prov:wasDerivedFrom or prov:wasGeneratedBy")]
+
+
+def test_rules_make_only_the_facts_they_read(spark):
+    core = {name: spark.createDataFrame([], ddl) for name, ddl in schemas.CORE.items()}
+
+    def rows(name, **values):
+        kinds = dict(_name_types(schemas.CORE[name]))
+        columns = [f"CAST({repr(values[n]) if n in values else 'NULL'} AS {kind}) AS {n}" for n, kind in kinds.items()]
+        return spark.range(1).selectExpr(*columns)
+
+    twice = [rows("incidents", incident_id="I", asset_id=a, current_stage="RESTORED") for a in "ABA"]
+    core["incidents"] = twice[0].unionByName(twice[1]).unionByName(twice[2])
+    core["snapshots"] = rows("snapshots", impact_snapshot_id="S", incident_id="I", affected_gpu_count="3")
+    full = checkpoint(findings.canonical_triples(core))
+    assert full.count() == full.distinct().count()  # an incident of three rows has each of its facts once
+    types = checkpoint(shapes.entailed_types(full, shapes.CONTRACT_SHAPES))
+    for rule in (findings.recovery_blocker, findings.impact_trust):
+        triples, asked = findings.rule_facts(core, rule)
+        assert {r.p.removeprefix(shapes.ONTOLOGY) for r in triples.select("p").collect()} <= set(findings.RULE_PREDICATES[rule])
+        assert sorted(rule(triples, asked).collect()) == sorted(rule(full, types).collect())
+        assert not rule(full, types).isEmpty()
+
+
+def test_provenance_makes_only_its_facts(spark):
+    found = spark.createDataFrame(
+        [("f", "RecoveryBlocker", "t", "a"), ("f", "RecoveryBlocker", "t", "b"), ("g", "FollowUpDecision", "u", None)],
+        findings.FINDING_COLUMNS,
+    )
+    every, only = findings.finding_triples(found, "run"), findings.finding_triples(found, "run", findings.PROV)
+    assert every.count() == every.distinct().count() == 13 and only.where(~F.col("p").startswith(findings.PROV)).isEmpty()
+    assert sorted(findings.provenance_edges(only).collect()) == sorted(findings.provenance_edges(every).collect())
